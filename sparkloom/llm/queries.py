@@ -29,6 +29,22 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, ["doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out")])
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.toxicity import score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = train(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return score(docs, lexicon, ["doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out")])
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.quality import score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return score(docs, model, ["doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
