@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.common import crc_mod, table, vocabulary_path
 
+#: The key of the registered queries' surrogates; a deployment passes its own secret.
+SURROGATE_KEY = "sparkloom"
+
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.sentencepiece_codec import digests
@@ -45,6 +48,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, ["doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out")])
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.pii import pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, SURROGATE_KEY).select("doc_id", "n_entities", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
