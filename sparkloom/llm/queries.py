@@ -18,6 +18,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.fingerprints import with_edited
+
+    return with_edited(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.token_counts import token_counts
 
