@@ -18,6 +18,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.fingerprints import with_edited
 
