@@ -12,6 +12,12 @@ from sparkloom.llm.common import crc_mod, table, vocabulary_path
 SURROGATE_KEY = "sparkloom"
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.jaccard_join import classes
+
+    return classes(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.sentencepiece_codec import digests
 
