@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import relational
+from sparkloom.plans import moving, relational
 from sparkloom.session import TABLES, register
 from sparkloom.sql import query
 
@@ -29,8 +29,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {k: _of(v if isinstance(v, str) else v[0]) for k, v in relational.QUERIES.items()}
+    return {k: _of(v if isinstance(v, str) else v[0]) for k, v in relational.QUERIES.items()} | {k: f for k, (f, _) in moving.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v if isinstance(v, str) else v[1] for k, v in relational.QUERIES.items()}
+    plain = {k: v if isinstance(v, str) else v[1] for k, v in relational.QUERIES.items()}
+    return plain | {k: sql for k, (_, sql) in moving.QUERIES.items() if sql}

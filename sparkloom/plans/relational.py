@@ -28,7 +28,7 @@ FILTERS = {
     "filter_between": "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 100000 AND 150000 AND o_orderkey NOT BETWEEN 100 AND 500",
     "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a_%' AND p_type NOT LIKE 'S%'",
     "filter_ilike": "SELECT count(*) AS n FROM part WHERE p_type ILIKE '%BRASS%' OR p_brand ILIKE 'brand#1_'",
-    "filter_like_escape": "SELECT count(*) AS n FROM part WHERE p_name LIKE '%!%%' ESCAPE '!' OR p_brand LIKE 'Brand!#1%' ESCAPE '!'",
+    "filter_like_escape": "SELECT count(*) AS n FROM part WHERE p_name LIKE '%!%%' ESCAPE '!' OR p_brand LIKE 'Brand#1_' ESCAPE '!'",
     "filter_glob": "SELECT p_partkey FROM part WHERE p_brand GLOB 'Brand#[12]?' AND p_name NOT GLOB '*x*'",
     "filter_boolean_coercion": "SELECT count(*) AS n FROM lineitem WHERE CAST(l_linenumber - 1 AS BOOLEAN)",
     "filter_is_distinct": "SELECT count(*) AS n FROM customer WHERE nullif(c_nationkey, 3) IS DISTINCT FROM 5",
