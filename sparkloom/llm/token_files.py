@@ -32,27 +32,20 @@ from sparkloom.llm.ordered import in_order
 
 #: Bits of the longest code, ids between marks, ids in a block (about).
 LONGEST, MARK_EVERY, BLOCK_IDS = 16, 512, 80_000
-#: Entries of a worker's cache of word ids, and the longest word in it.
-CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
 
 
-class Encoder(dict):
-    """Ids of words (text up to the next blank) as little-endian 32-bit integers.
+class Encoder:
+    """Ids of texts as little-endian 32-bit integers.
 
     A byte-level vocabulary whose ids are its merge ranks is read into ``tiktoken``;
-    it gives the ids of ``tokenizers`` for it.  Cutting before single blanks is exact
-    for the byte-level pattern: a blank before a character that is not white space
-    belongs to what follows.
+    it gives the ids of ``tokenizers`` for it.
     """
 
     def __init__(self, path: str):
-        import re
-
         import tiktoken
 
         from sparkloom.llm.token_counts import BYTE_LEVEL_PATTERN
 
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         pre, vocab = model["pre_tokenizer"], model["model"]["vocab"]
@@ -70,33 +63,12 @@ class Encoder(dict):
         self.size = max([*vocab.values(), *special.values()]) + 1
         self.coder = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.special = frozenset(special)
-        self.hint = re.compile("|".join(map(re.escape, special))) if special else None
-        self.blanks = re.compile(r"\s ")
-        self.missed = 0
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.coder.encode_ordinary(text), "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        out = self._plain(word)
-        if len(word) <= CACHE_CHARS:
-            self.missed += 1
-            if self.missed > 6 * CACHE_ENTRIES:
-                self.clear()
-                self.missed = 0
-            if len(self) < CACHE_ENTRIES:
-                self[word] = out
-        return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.hint is not None and self.hint.search(text):
-            return np.array(self.coder.encode(text, allowed_special=self.special), "<u4").tobytes()
-        if text[0] == " " or self.blanks.search(text):
-            return self._plain(text)
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[w] for w in map(" ".__add__, rest)])
+        ids = self.coder.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
+        return ids.astype("<u4", copy=False).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
