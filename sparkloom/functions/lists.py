@@ -52,7 +52,7 @@ _POSITION = (
     "ELSE CAST(nullif(array_position({0}, {1}), 0) AS INT) END"
 )
 _DISTINCT = "array_distinct(filter({0}, e -> e IS NOT NULL))"
-_HAS_ANY = "coalesce(arrays_overlap(filter({0}, e -> e IS NOT NULL), filter({1}, e -> e IS NOT NULL)), false)"
+_HAS_ANY = "arrays_overlap(filter({0}, e -> e IS NOT NULL), filter({1}, e -> e IS NOT NULL))"
 _HAS_ALL = "size(array_except(filter({1}, e -> e IS NOT NULL), filter({0}, e -> e IS NOT NULL))) = 0"
 _ELEMENT = "try_element_at({0}, nullif(CAST({1} AS INT), 0))"
 _SPLIT = "CASE WHEN {1} = '' THEN filter(split({0}, ''), e -> e <> '') ELSE split({0}, concat('\\\\Q', {1}, '\\\\E'), -1) END"

@@ -60,7 +60,7 @@ def _pad(name: str):
 _LEFT = "CASE WHEN {1} >= 0 THEN substr({0}, 1, {1}) ELSE substr({0}, 1, greatest(length({0}) + {1}, 0)) END"
 _RIGHT = "CASE WHEN {1} >= 0 THEN substr({0}, greatest(length({0}) - {1}, 0) + 1) ELSE substr({0}, -{1} + 1) END"
 _SPLIT_PART = (
-    "CASE WHEN {2} = 0 THEN '' WHEN {1} = '' THEN coalesce(try_element_at(split({0}, ''), {2}), '') ELSE split_part({0}, {1}, nullif({2}, 0)) END"
+    "CASE WHEN {0} IS NULL OR {1} IS NULL OR {2} IS NULL THEN NULL WHEN {2} = 0 THEN '' WHEN {1} = '' THEN coalesce(try_element_at(split({0}, ''), {2}), '') ELSE split_part({0}, {1}, nullif({2}, 0)) END"
 )
 
 
