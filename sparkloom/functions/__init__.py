@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sparkloom.functions import dates, json, lists, logfmt, maps, numbers, text
+from sparkloom.functions import dates, json, json_edit, lists, logfmt, maps, numbers, text
 
 MACROS: dict[str, Callable[[list[str]], str]] = {}
-for _module in (numbers, text, dates, lists, maps, json, logfmt):
+for _module in (numbers, text, dates, lists, maps, json, json_edit, logfmt):
     MACROS |= _module.FUNCTIONS

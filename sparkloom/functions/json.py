@@ -74,6 +74,4 @@ FUNCTIONS = {
     "json_array": lambda a: "concat('[', concat_ws(',', " + ", ".join(f"coalesce(substr(to_json(array({x})), 2, length(to_json(array({x}))) - 2), 'null')" for x in a) + "), ']')",
     "json_object": _object,
     "json_quote": macro("coalesce(substr(to_json(array({0})), 2, length(to_json(array({0}))) - 2), 'null')"),
-    # JSON editing in place of the row dialect: top-level merge patch by maps of texts
-    "json_merge_keys": macro("to_json(map_concat(from_json({0}, 'map<string,string>'), from_json({1}, 'map<string,string>')))"),
 }

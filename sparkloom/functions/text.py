@@ -79,6 +79,13 @@ def _quote(args: list[str]) -> str:
     return f"CASE WHEN {x} IS NULL THEN 'NULL' WHEN typeof({x}) = 'string' THEN concat('\\'', replace(CAST({x} AS STRING), '\\'', '\\'\\''), '\\'') ELSE CAST({x} AS STRING) END"
 
 
+def _typeof(args: list[str]) -> str:
+    """The front door's names of types."""
+    names = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "TINYINT", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "binary": "BLOB", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "void": "NULL"}
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items())
+    return f"CASE typeof({args[0]}) {cases} ELSE upper(typeof({args[0]})) END"
+
+
 def _char(args: list[str]) -> str:
     """Characters of code points."""
     one = "decode(unhex(lpad(hex(CAST({} AS INT)), 8, '0')), 'UTF-32')"
@@ -121,5 +128,9 @@ FUNCTIONS = {
     "char": _char,
     "chr": lambda a: _char(a),
     "unicode": macro("CAST(conv(hex(encode(substr({0}, 1, 1), 'UTF-32')), 16, 10) AS INT)"),
+    "unistr": lambda a: quoted(re.sub(r"\\\\|\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})|\\\+([0-9a-fA-F]{6})|\\([0-9a-fA-F]{4})", lambda m: chr(int(next(g for g in m.groups() if g), 16)) if any(m.groups()) else "\\", literal(a[0]))),
+    "typeof": _typeof,
+    "randomblob": macro("substr(unhex(concat_ws('', transform(sequence(1, {0}), k -> lpad(hex(CAST(floor(rand() * 256) AS BIGINT)), 2, '0')))), 1, {0})"),
+    "sqlite_version": lambda a: "'3.51.0'",
     "zeroblob": macro("unhex(repeat('00', {0}))"),
 }

@@ -10,11 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import dml, reports
+from sparkloom.operators import dml, reports, statements
 from sparkloom.session import load
 from sparkloom.sources import logs
 from sparkloom.sources.ingest import EventTable
-from sparkloom.streaming import joins, windows
+from sparkloom.streaming import joins, rollups, windows
 from sparkloom.streaming.standing import StandingQuery
 
 HOUR = 3600
@@ -187,6 +187,32 @@ def dml_replace(spark: SparkSession, d: str) -> DataFrame:
     return dml.replace(nation, nation.where("n_nationkey >= 20").selectExpr("n_nationkey + 3 AS n_nationkey", "'r' AS n_name", "n_regionkey"), ["n_nationkey"])
 
 
+def dml_script(spark: SparkSession, d: str) -> DataFrame:
+    """A session of DDL, DML and transactions as SQL text."""
+    load(spark, d, "nation").createOrReplaceTempView("nation")
+    db = dml.Database(spark)
+    for statement in (
+        "CREATE TABLE IF NOT EXISTS n (id INTEGER PRIMARY KEY, name TEXT NOT NULL, r INT DEFAULT 7, CHECK (id >= 0))",
+        "INSERT INTO n (id, name) SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10",
+        "INSERT OR IGNORE INTO n VALUES (3, 'ignored', 1), (50, 'fifty', 5)",
+        "INSERT OR REPLACE INTO n VALUES (4, 'four', 4)",
+        "INSERT INTO n VALUES (5, 'five', 2), (60, 'sixty', 6) ON CONFLICT (id) DO UPDATE SET name = excluded.name, r = r + excluded.r",
+        "UPDATE n SET name = lower(name), r = r + 1 WHERE id BETWEEN 1 AND 2",
+        "BEGIN", "DELETE FROM n", "ROLLBACK",
+        "DELETE FROM n WHERE id = 9",
+    ):
+        statements.execute(db, statement)
+    return statements.execute(db, "SELECT id, name, r FROM n")
+
+
+def rollup_totals(spark: SparkSession, d: str) -> DataFrame:
+    """All-time totals after the older half of the rows went into a rollup."""
+    events = load(spark, d, "events")
+    rows, kept = rollups.evict(events, None, "ts", HOUR, ["value"], 1705276800 * 10**9)
+    out = rollups.totals(rows, kept, "ts", HOUR, ["value"])
+    return out.select("n", F.round("value_sum", 4).alias("s"), F.col("value_min").alias("lo"), F.col("value_max").alias("hi"))
+
+
 # -- ingested tables -------------------------------------------------------------------
 
 
@@ -249,6 +275,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "dml_delete": (dml_delete, "SELECT * FROM nation WHERE NOT coalesce(nullif(n_regionkey, 3) > 1, false)"),
     "dml_upsert": (dml_upsert, "SELECT t.n_nationkey, coalesce('new ' || x.n_name, t.n_name) AS n_name, t.n_regionkey FROM nation t LEFT JOIN (SELECT n_nationkey + 3 AS k, n_name FROM nation WHERE n_nationkey >= 20) x ON t.n_nationkey = x.k UNION ALL SELECT n_nationkey + 3, 'new ' || n_name, n_regionkey FROM nation WHERE n_nationkey >= 20 AND n_nationkey + 3 NOT IN (SELECT n_nationkey FROM nation)"),
     "dml_replace": (dml_replace, "SELECT * FROM nation WHERE n_nationkey < 23 UNION ALL SELECT n_nationkey + 3, 'r', n_regionkey FROM nation WHERE n_nationkey >= 20"),
+    "dml_script": (dml_script, "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey IN (1, 2) THEN lower(n_name) WHEN n_nationkey = 4 THEN 'four' WHEN n_nationkey = 5 THEN 'five' ELSE n_name END AS name, CAST(CASE WHEN n_nationkey IN (1, 2) THEN 8 WHEN n_nationkey = 4 THEN 4 WHEN n_nationkey = 5 THEN 9 ELSE 7 END AS BIGINT) AS r FROM nation WHERE n_nationkey < 9 UNION ALL VALUES (50, 'fifty', 5), (60, 'sixty', 6)"),
+    "rollup_totals": (rollup_totals, "SELECT count(*)::BIGINT AS n, round(sum(value), 4) AS s, min(value) AS lo, max(value) AS hi FROM events"),
     "ingest_append_compact": (ingest_append_compact, "SELECT event_id, event_type FROM events WHERE day(ts) <= 3"),
     "schema_widen": (schema_widen, "SELECT event_id, CAST(user_id AS DOUBLE) AS v, CAST(NULL AS VARCHAR) AS more FROM events WHERE day(ts) = 1 UNION ALL SELECT event_id + 1000000, value, event_type FROM events WHERE day(ts) = 1"),
     "manifest_prune": (manifest_prune, "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-03'"),

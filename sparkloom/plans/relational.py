@@ -162,6 +162,8 @@ NESTED = {
     "json_extract": "SELECT event_id, json_extract_string(props, '$.k') AS a, json_extract_string(props, '$.none') AS b, CAST(json_extract(props, '$.k') AS VARCHAR) AS c FROM events",
     "json_array": "SELECT event_id, json_array_length('[1, 2, {\"a\": 3}]') AS a, json_valid(props) AS b, json_valid('{') AS c, json_type(props) AS d FROM events".replace("json_array_length('[1, 2, {\"a\": 3}]')", "CAST(json_array_length('[1, 2, {\"a\": 3}]') AS BIGINT)"),
     "logfmt_extract": ("SELECT event_id, logfmt_extract(line, 'type') AS a, logfmt_extract(line, 'msg') AS b, logfmt_extract(line, 'none') AS c FROM (SELECT event_id, concat('ts=1 type=', event_type, ' msg=\"a b\" id=', CAST(user_id AS VARCHAR)) AS line FROM events) t", "SELECT event_id, event_type AS a, 'a b' AS b, CAST(NULL AS VARCHAR) AS c FROM events"),
+    "json_edit": ("SELECT event_id, json_extract_string(json_set(props, '$.k', 5, '$.n', 'x'), '$.k') AS a, json_extract_string(json_set(props, '$.n', 'x'), '$.n') AS b, json_extract_string(json_remove(props, '$.k'), '$.k') AS c, json_patch('{\"a\":1,\"b\":2}', '{\"a\":null,\"c\":3}') AS d, json_element('[1,2,3]', '$[#-1]') AS e FROM events", "SELECT event_id, '5' AS a, 'x' AS b, CAST(NULL AS VARCHAR) AS c, '{\"b\":2,\"c\":3}' AS d, '3' AS e FROM events"),
+    "fn_typeof": "SELECT p_partkey, typeof(p_size) AS a, typeof(p_name) AS b, typeof(p_retailprice) AS c, typeof(p_partkey) AS d FROM part",
     "array_floats": "SELECT vec_id, embedding[1] AS a, len(embedding) AS b FROM embeddings",
 }
 

@@ -150,3 +150,44 @@ def test_parquet(spark, tmp_path):
     assert len(list(parquet.stream_rows(back))) == 100
     assert parquet.matches(back, "id > 3 AND k < 2", {"id": 4, "k": 1}) is True
     assert parquet.matches(back, "id > 3", {"id": None, "k": 1}) is None
+
+
+def test_statements(spark):
+    from sparkloom.operators.statements import execute
+
+    db = dml.Database(spark)
+    run = lambda s: execute(db, s)
+    run("CREATE TABLE acc2 (id INTEGER PRIMARY KEY, name VARCHAR(10) UNIQUE, n INT NOT NULL DEFAULT 3, CHECK (n < 100))")
+    run("INSERT INTO acc2 (id, name) VALUES (1, 'a'), (2, 'b')")
+    with pytest.raises(dml.ConstraintError):
+        run("INSERT INTO acc2 VALUES (3, 'a', 1)")
+    run("UPDATE acc2 SET (name, n) = ('z', n * 2) WHERE id = 2")
+    run("CREATE VIEW big AS SELECT id FROM acc2 WHERE n > 3")
+    run("CREATE INDEX i ON acc2 (n)")
+    assert [r.id for r in run("SELECT id FROM big").collect()] == [2]
+    run("INSERT INTO acc2 VALUES (2, 'y', 1) ON CONFLICT DO NOTHING")
+    assert sorted(map(tuple, run("SELECT * FROM acc2").collect())) == [(1, "a", 3), (2, "z", 6)]
+    run("DROP TABLE acc2")
+    with pytest.raises(ValueError):
+        run("DROP TABLE acc2")
+
+
+def test_json_editing():
+    from sparkloom.functions.json_edit import edit, error_position
+
+    assert edit("set", '{"a":[1,2]}', "$.a[#]", "3") == '{"a":[1,2,3]}'
+    assert edit("set", '{"a":1}', "$.b.c", '"x"') == '{"a":1,"b":{"c":"x"}}'
+    assert edit("insert", '{"a":1}', "$.a", "2") == '{"a":1}' and edit("replace", '{"a":1}', "$.b", "2") == '{"a":1}'
+    assert edit("remove", '[1,2,3]', "$[#-1]", None) == "[1,2]" and edit("element", '{"k":[5]}', '$."k"[0]', None) == "5"
+    assert edit("patch", '{"a":{"b":1,"c":2}}', '{"a":{"b":null}}', None) == '{"a":{"c":2}}'
+    assert edit("set", "{", "$.a", "1") is None and edit("set", None, "$.a", "1") is None
+    assert error_position("[1]") == 0 and error_position("[1") == 3 and error_position(None) is None
+
+
+def test_rollups(spark):
+    from sparkloom.streaming import rollups
+
+    rows, kept = rollups.evict(_log(spark), None, "timestamp", 10, ["v"], 15 * 10**9)
+    assert rows.count() == 3
+    rows, kept = rollups.evict(rows, kept, "timestamp", 10, ["v"], 25 * 10**9)
+    assert tuple(rollups.totals(rows, kept, "timestamp", 10, ["v"]).first()) == (8, 55.0, 1.0, 13.0)
