@@ -11,10 +11,10 @@ Method: prefix-filtered index lists with set-relation skipping.
    overlap that a link needs.
 3. Sets that pass are compared by parity bitmaps: what two sets share cancels, so
    differing bits bound the number of differing shingles from below.
-4. Answers are derived from those of similar sets: in the first wave each set is
-   verified against the first candidate of a list only; what it links to has its
-   answers in common.  In the second wave only pairs between different classes are
-   left, and all of those are verified.
+4. Answers are derived from those of similar sets.  In a wave each set is verified
+   only against the nearest one before it in a list that is of another class yet; if
+   they link, all answers of that class are its own.  When a wave finds no more links,
+   the pairs left between different classes are all verified.
 
 Verification counts the shared shingles of both whole texts.  Long lists are split
 into blocks paired over several tasks.
@@ -27,6 +27,7 @@ non-null key, and rows whose class has none get null.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm._words import mix, shingle_sets
-from sparkloom.llm.common import discard, materialise
+from sparkloom.llm.common import discard, materialise, scratch_path
 from sparkloom.llm.components import components
 
 #: Shingles counted at a time in a task, the count from which they are reported, the
 #: total from which they are frequent, and the most kept.
-COUNTED, LOCAL_LEAST, TOTAL_LEAST, MOST_FREQUENT = 4_000_000, 8, 32, 400_000
-#: Entries of a block of a list, entries of a part of a long list, bits of the table
-#: that says which nodes are candidates (at most).
-BLOCK, PART, TABLE_BITS = 64, 8_192, 1 << 27
+COUNTED, LOCAL_LEAST, TOTAL_LEAST, MOST_FREQUENT = 1_500_000, 6, 24, 300_000
+#: Entries of a block of a list, entries of a part of a long list, lists checked for
+#: partners before bitmaps are fetched, lists compared without numpy, waves at most.
+BLOCK, PART, CHECKED, SHORT, WAVES = 64, 8_192, 4_096, 16, 3
+#: Bits of the table that says which nodes are candidates (at most).
+TABLE_BITS = 1 << 27
 
 
 def needed(n, m, percent: int):
@@ -139,32 +142,134 @@ def profile(docs: DataFrame, text: str, key: str, width: int, percent: int) -> D
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n bigint, d bigint, prefix array<bigint>, bits binary")
 
 
-def lists(nodes: DataFrame) -> DataFrame:
-    """Index lists with two entries or more: token, lo, hi, part, n, at, d, bits.
+def lists(nodes: DataFrame, percent: int) -> DataFrame:
+    """Entries of index lists that have a partner: token, lo, hi, part, n, d.
 
-    A list longer than ``PART`` is dealt to parts; each pair of parts (``lo``, ``hi``)
-    is a task of its own, and an entry goes to all pairs with its part.
+    First lists of one entry, and entries that no other one of the list can link with
+    for their sizes and positions, are left out; then bitmaps are fetched, and entries
+    that those rule out go too.  Lists with the same entries left are one, as similar
+    sets share many.  A list longer than ``PART`` is dealt to parts; each pair of parts
+    (``lo``, ``hi``) is a task of its own, and an entry goes to all pairs with its
+    part.
     """
     from pyspark.sql import Window
 
-    entries = nodes.select("d", "n", F.posexplode("prefix").alias("at", "token"))
+    entries = nodes.select(F.posexplode("prefix").alias("at", "token"), "d", "n")
     counted = entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
-    full = counted.join(nodes.select("d", "bits"), "d")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        token, held = None, []
+        out: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["token", "d", "n", "at", "c"])
+            out.clear()
+            return got
+
+        for batch in batches:
+            for at, t, d, n, c in zip(*(x.to_pylist() for x in batch.columns)):
+                if c > CHECKED:
+                    out.append((t, d, n, at, c))
+                else:
+                    if t != token:
+                        out.extend(_with_partner(token, held, percent))
+                        token, held = t, []
+                    held.append((n, at, d))
+            if len(out) > 20_000:
+                yield batch_of()
+        out.extend(_with_partner(token, held, percent))
+        yield batch_of()
+
+    kept = counted.select("at", "token", "d", "n", "c").mapInArrow(run, "token bigint, d bigint, n bigint, at bigint, c bigint")
+    full = kept.join(nodes.select("d", "bits").hint("merge"), "d")
     parts = F.ceil(F.col("c") / PART).cast("int")
     full = full.withColumn("part", F.pmod(F.xxhash64("d"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return full.select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "n", "at", "d", "bits")
+    dealt = full.select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "n", "at", "d", "bits")
+    dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "d")
+
+    def near(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = ["token", "lo", "hi", "part", "n", "at", "d", "bits"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        out: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            got = [pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(got, ["token", "lo", "hi", "part", "n", "d"])
+
+        for (_, lo, hi), held in _runs(batches, names):
+            mark = np.zeros(len(held), bool)
+            find = _short if len(held) <= SHORT else _long
+            for _ in find(held, list(range(len(held))), lo != hi, percent, True, mark):
+                pass
+            left = [held[k] for k in np.flatnonzero(mark).tolist()]
+            if left:
+                members = digest(np.sort(np.array([e[3] for e in left], np.int64)).view(np.uint64))
+                out.extend((members, lo, hi, part, n, d) for part, n, _, d, _ in left)
+            if len(out) > 10_000:
+                yield batch_of()
+        yield batch_of()
+
+    near_ones = dealt.mapInArrow(near, "token bigint, lo int, hi int, part int, n bigint, d bigint")
+    return near_ones.dropDuplicates(["token", "lo", "hi", "d"])
+
+
+def _runs(batches: Iterator, names: list[str]) -> Iterator[tuple[tuple, list]]:
+    """Lists of two entries or more from rows in order of (token, lo, hi)."""
+    key, held = None, []
+    for batch in batches:
+        for token, lo, hi, *entry in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
+            if (token, lo, hi) != key:
+                if len(held) > 1:
+                    yield key, held
+                key, held = (token, lo, hi), []
+            held.append(entry)
+    if len(held) > 1:
+        yield key, held
+
+
+def _with_partner(token: int, held: list[tuple], percent: int) -> Iterator[tuple]:
+    """The entries (n, at, d) of a list that at least one other one can link with."""
+    if len(held) < 2:
+        return
+    if len(held) == 2:
+        (n, i, _), (m, j, _) = held
+        if 100 * min(n, m) >= percent * max(n, m) and min(n - i, m - j) >= needed(n, m, percent):
+            yield from ((token, d, n, at, 2) for n, at, d in held)
+        return
+    held.sort()
+    size = np.array([e[0] for e in held])
+    room = size - np.array([e[1] for e in held])
+    partner = np.zeros(len(held), bool)
+    from_ = 0
+    for y in range(1, len(held)):
+        m, my_room = held[y][0], int(room[y])
+        while 100 * held[from_][0] < percent * m:
+            from_ += 1
+        fit = np.minimum(room[from_:y], my_room) >= needed(size[from_:y], m, percent)
+        if fit.any():
+            partner[from_:y] |= fit
+            partner[y] = True
+    for k in np.flatnonzero(partner).tolist():
+        n, at, d = held[k]
+        yield token, d, n, at, len(held)
 
 
 def _candidates(entries: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of nodes that pass all filters in a list: see :func:`_pairs`."""
-    more = ["comp"] if every else []
-    dealt = entries.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "d")
+    """Pairs (a, b) of nodes of different classes that pass all filters in a list: see :func:`_pairs`."""
+    # positions have been looked at; equal lists of several shingles are one by now
+    dealt = entries.withColumn("zero", F.lit(0).cast("bigint"))
+    dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "d")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["token", "lo", "hi", "part", "n", "at", "d", "bits", *more]
-        key, held = None, []
+        names = ["token", "lo", "hi", "part", "n", "zero", "d", "bits", "comp"]
         out: set[tuple[int, int]] = set()
 
         def batch_of() -> pa.RecordBatch:
@@ -172,17 +277,10 @@ def _candidates(entries: DataFrame, percent: int, every: bool) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            for token, lo, hi, *entry in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names)):
-                if (token, lo, hi) != key:
-                    if len(held) > 1:
-                        out.update(_pairs(held, key[1] != key[2], percent, every))
-                    key, held = (token, lo, hi), []
-                held.append(entry)
+        for key, held in _runs(batches, names):
+            out.update(_pairs(held, key[1] != key[2], percent, every))
             if len(out) > 20_000:
                 yield batch_of()
-        if len(held) > 1:
-            out.update(_pairs(held, key[1] != key[2], percent, every))
         if out:
             yield batch_of()
 
@@ -190,20 +288,63 @@ def _candidates(entries: DataFrame, percent: int, every: bool) -> DataFrame:
 
 
 def _pairs(entries: list[list], across: bool, percent: int, every: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of a list (entries part, n, at, d, bits and maybe comp, by size) that may link.
+    """Pairs of a list (entries part, n, at, d, bits, comp, by size) that may link.
 
     ``across``: only pairs of different parts.  ``every``: all pairs of different
-    classes; otherwise for each entry the first one before it.
+    classes; otherwise for each entry the nearest one before it of another class.
     """
-    if every and all(e[5] == entries[0][5] for e in entries):
+    comps = [e[5] for e in entries]
+    if comps.count(comps[0]) == len(comps):
         return
-    part = [e[0] for e in entries]
+    find = _short if len(entries) <= SHORT else _long
+    for x, y in find(entries, comps, across, percent, every):
+        a, b = entries[x][3], entries[y][3]
+        if a != b:
+            yield (a, b) if a < b else (b, a)
+
+
+def _short(entries: list[list], comps: list[int], across: bool, percent: int, every: bool, mark: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    bits = [int.from_bytes(e[4], "little") for e in entries]
+    for y in range(1, len(entries)):
+        part, m, j, _, raw = entries[y][:5]
+        best = None
+        for x in range(y):
+            n, i = entries[x][1], entries[x][2]
+            if comps[x] == comps[y] or 100 * n < percent * m or (across and entries[x][0] == part):
+                continue
+            least = needed(n, m, percent)
+            if min(n - i, m - j) < least:
+                continue
+            u, v = bits[x], bits[y]
+            if len(entries[x][4]) != len(raw):
+                u, v = _same_width(u, len(entries[x][4]) * 8, v, len(raw) * 8)
+            spare = n + m - 2 * least - (u ^ v).bit_count()
+            if spare >= 0:
+                if mark is not None:
+                    mark[x] = mark[y] = True
+                elif every:
+                    yield x, y
+                elif best is None or spare > best[0]:
+                    best = (spare, x)
+        if best is not None:
+            yield best[1], y
+
+
+def _long(entries: list[list], comps: list[int], across: bool, percent: int, every: bool, mark: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    part = np.array([e[0] for e in entries])
     size = np.array([e[1] for e in entries])
     room = size - np.array([e[2] for e in entries])  # the shared shingle and what follows it
-    node = [e[3] for e in entries]
-    bits = [int.from_bytes(e[4], "little") for e in entries]
-    wide = [len(e[4]) * 8 for e in entries]
-    comp = [e[5] for e in entries] if every else None
+    comp = np.array(comps)
+    wide = np.array([len(e[4]) for e in entries])
+    maps = {int(w): np.zeros((len(entries), w // 8), np.uint64) for w in np.unique(wide)}
+    for k, e in enumerate(entries):
+        raw = np.frombuffer(e[4], np.uint64)
+        while True:  # at its own width and all smaller ones of the list
+            if len(raw) * 8 in maps:
+                maps[len(raw) * 8][k] = raw
+            if len(raw) * 8 <= min(maps):
+                break
+            raw = raw[: len(raw) // 2] ^ raw[len(raw) // 2 :]
     starts = np.arange(0, len(entries), BLOCK)
     largest, most_room, smallest = (f.reduceat(x, starts) for f, x in ((np.maximum, size), (np.maximum, room), (np.minimum, size)))
     from_ = 0
@@ -213,32 +354,39 @@ def _pairs(entries: list[list], across: bool, percent: int, every: bool) -> Iter
             from_ += 1
         if from_ >= y:
             continue
-        first = from_ // BLOCK
-        last = (y - 1) // BLOCK + 1
         # blocks whose sizes and positions leave room for enough overlap
-        if last - first > 1:
-            fit = (100 * largest[first:last] >= percent * m) & (np.minimum(most_room[first:last], my_room) >= needed(smallest[first:last], m, percent))
-            blocks = (np.flatnonzero(fit) + first).tolist()
-        else:
-            blocks = [first]
-        for k in blocks:
+        first, last = from_ // BLOCK, (y - 1) // BLOCK + 1
+        fit = (100 * largest[first:last] >= percent * m) & (np.minimum(most_room[first:last], my_room) >= needed(smallest[first:last], m, percent))
+        best = (-1, -1)
+        for k in (np.flatnonzero(fit) + first).tolist():
             a, b = max(k * BLOCK, from_), min((k + 1) * BLOCK, y)
-            some = np.flatnonzero(np.minimum(room[a:b], my_room) >= needed(size[a:b], m, percent)) + a
-            found = False
-            for x in some.tolist():
-                if node[x] == node[y] or (across and part[x] == part[y]) or (every and comp[x] == comp[y]):
-                    continue
-                n = int(size[x])
-                u, v = bits[x], bits[y]
-                if wide[x] != wide[y]:
-                    u, v = _same_width(u, wide[x], v, wide[y])
-                if (u ^ v).bit_count() <= n + m - 2 * needed(n, m, percent):
-                    yield (node[x], node[y]) if node[x] < node[y] else (node[y], node[x])
-                    if not every:
-                        found = True
-                        break
-            if found:
-                break
+            least = needed(size[a:b], m, percent)
+            ok = (np.minimum(room[a:b], my_room) >= least) & (comp[a:b] != comp[y])
+            if across:
+                ok &= part[a:b] != part[y]
+            some = np.flatnonzero(ok)
+            if not len(some):
+                continue
+            spare = np.empty(len(some), np.int64)
+            narrow = np.minimum(wide[a:b][some], wide[y])
+            for w in np.unique(narrow):
+                own = narrow == w
+                table = maps[int(w)]
+                spare[own] = -np.bitwise_count(table[a + some[own]] ^ table[y]).sum(axis=1)
+            spare += size[a:b][some] + m - 2 * least[some]
+            if mark is not None:
+                near = some[spare >= 0]
+                mark[a + near] = True
+                mark[y] |= len(near) > 0
+            elif every:
+                for x in some[spare >= 0].tolist():
+                    yield a + x, y
+            else:
+                top = int(spare.argmax())
+                if spare[top] > best[0]:
+                    best = (int(spare[top]), a + int(some[top]))
+        if best[0] >= 0:
+            yield best[1], y
 
 
 def _same_width(u: int, wu: int, v: int, wv: int) -> tuple[int, int]:
@@ -252,14 +400,14 @@ def _same_width(u: int, wu: int, v: int, wv: int) -> tuple[int, int]:
     return u, v
 
 
-def _texts_of(docs: DataFrame, text: str, width: int, pairs: DataFrame) -> DataFrame:
-    """One text for each node of ``pairs``: d, text.
+def _texts_of(docs: DataFrame, text: str, width: int, nodes: DataFrame) -> str:
+    """A table, bucketed by node, of one text for each of ``nodes``: d, text.
 
     A bit table of the nodes, bounded by ``TABLE_BITS``, keeps most other texts out of
     the shuffle; the join afterwards is exact.
     """
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
+    wanted = nodes.select("d").distinct()
     n = wanted.count()
     bits = min(TABLE_BITS, 1 << max(12, (16 * max(n, 1)).bit_length()))
     place = F.pmod(F.col("d"), F.lit(bits))
@@ -288,11 +436,16 @@ def _texts_of(docs: DataFrame, text: str, width: int, pairs: DataFrame) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(keep, pa.string())], ["d", "text"])
 
     got = docs.select(text).mapInArrow(run, "d bigint, text string")
-    return materialise(got.groupBy("d").agg(F.min("text").alias("text")).join(wanted, "d", "left_semi"), "texts")
+    one = got.groupBy("d").agg(F.min("text").alias("text")).join(wanted.hint("merge"), "d", "left_semi")
+    name = f"texts_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    one.write.bucketBy(buckets, "d").sortBy("d").option("path", scratch_path(spark, "texts")).saveAsTable(name)
+    return name
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose whole texts' shingles link."""
+def _verified(pairs: DataFrame, table: str, width: int, percent: int) -> DataFrame:
+    """The pairs whose whole texts' shingles link; only pairs are shuffled, not the table of texts."""
+    texts = pairs.sparkSession.table(table)
     a = texts.select(F.col("d").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("d").alias("b"), F.col("text").alias("tb"))
 
@@ -314,7 +467,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                     ok.append(100 * shared >= percent * (len(s) + len(t) - shared))
                 yield pa.RecordBatch.from_arrays([lot.column(0), lot.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -323,32 +476,46 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     Two texts link when 100 * shared >= ``percent`` * union of their distinct shingles
     of ``width`` words; a class is what links connect.
     """
+    spark = docs.sparkSession
     rows = materialise(profile(docs, text, key, width, percent), "profiles")
     nodes = rows.where("n > 0").groupBy("d").agg(
         F.min(key).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")
     )
     nodes = materialise(nodes, "nodes")
-    entries = materialise(lists(nodes), "lists")
-    pairs = materialise(_candidates(entries, percent, every=False), "pairs")
-    texts = _texts_of(docs, text, width, pairs)
-    links = materialise(_verified(pairs, texts, width, percent), "links")
-    discard(texts)
-    label = components(links)
-    # second wave: what is left between different classes
-    left = entries.join(label.select(F.col("node").alias("d"), "comp"), "d", "left").withColumn("comp", F.coalesce("comp", "d"))
-    rest = _candidates(left, percent, every=True).join(pairs, ["a", "b"], "left_anti")
-    rest = materialise(rest, "pairs")
-    if not rest.isEmpty():
-        texts = _texts_of(docs, text, width, rest)
-        more = materialise(_verified(rest, texts, width, percent), "links")
-        discard(texts)
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
-    ids = nodes.select("d", "rep").join(label.select(F.col("node").alias("d"), "comp"), "d", "left")
+    entries = materialise(lists(nodes, percent), "lists")
+    texts = _texts_of(docs, text, width, entries)
+    bits = materialise(nodes.select("d", "bits").join(entries.select("d").distinct().hint("merge"), "d", "left_semi"), "bits")
+    links = tried = label = None
+    every, waves = False, 0
+    while True:
+        if label is None:
+            own = bits.withColumn("comp", F.col("d"))
+        else:
+            known = label.select(F.col("node").alias("d"), "comp").hint("merge")
+            own = bits.join(known, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
+        classed = entries.join(own.hint("merge"), "d")
+        pairs = _candidates(classed, percent, every)
+        if tried is not None:
+            pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = materialise(_verified(pairs, texts, width, percent), "links")
+        links = new if links is None else links.unionByName(new)
+        waves += 1
+        found = not new.isEmpty()
+        if found:
+            label = components(links)
+        if every:
+            break
+        every = not found or waves == WAVES
+    if label is None:
+        label = components(links)
+    spark.sql(f"DROP TABLE IF EXISTS {texts}")
+    ids = nodes.select("d", "rep").join(label.select(F.col("node").alias("d"), "comp").hint("merge"), "d", "left")
     ids = materialise(ids.select("d", "rep", F.coalesce("comp", "d").alias("comp")), "ids")
     least = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = materialise(ids.join(least, "comp").select("d", "component_id"), "classes")
-    for old in (entries, nodes, pairs, rest):
+    for old in (entries, nodes, bits):
         discard(old)
     none = rows.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
     some = rows.where("n > 0").select(key, "n", "d").join(of, "d").select(key, F.col("n").alias("n_shingles"), "component_id")
