@@ -193,7 +193,7 @@ def read(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint.split(":")[1]), np.uint8)
 
 
-def near_duplicates(prints: DataFrame, key: str = "doc_id", bands: int = 24, width: int = 6, least: float = 0.8) -> DataFrame:
+def near_duplicates(prints: DataFrame, key: str = "doc_id", bands: int = 32, width: int = 4, least: float = 0.8) -> DataFrame:
     """Pairs (representative, ``key``, likeness of at least ``least``) from :func:`fingerprint` rows.
 
     Texts with equal fingerprints are one; it is written down under its smallest key.
