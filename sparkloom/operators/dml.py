@@ -96,6 +96,7 @@ class Database:
         self.tables: dict[str, DataFrame] = {}
         self.rules: dict[str, Constraints] = {}
         self._saved: list[tuple[dict, dict]] = []
+        self._changes: dict[str, int] = {}
 
     def create(self, name: str, table: DataFrame | str, rules: Constraints | None = None, if_not_exists: bool = False) -> None:
         """A table from a DataFrame, or an empty one from a column list."""
@@ -118,6 +119,9 @@ class Database:
 
     def _put(self, name: str, table: DataFrame) -> None:
         self.rules[name].verify(table)
+        self._changes[name] = self._changes.get(name, 0) + 1
+        if self._changes[name] % 10 == 0 and self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            table = table.checkpoint()  # plans of many changes grow long
         self.tables[name] = table
         table.createOrReplaceTempView(name)
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import dml, reports, statements
 from sparkloom.session import load
-from sparkloom.sources import logs
+from sparkloom.sources import logs, parquet
 from sparkloom.sources.ingest import EventTable
+from sparkloom.sql import query
 from sparkloom.streaming import joins, rollups, windows
 from sparkloom.streaming.standing import StandingQuery
 
@@ -29,6 +30,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{held.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# -- views, parameters, collations, sinks ---------------------------------------------
+
+
+def view(spark: SparkSession, d: str) -> DataFrame:
+    load(spark, d, "orders").createOrReplaceTempView("orders")
+    query(spark, "SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 250000").createOrReplaceTempView("large_orders")
+    return query(spark, "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS m FROM large_orders GROUP BY o_custkey")
+
+
+def bound_parameters(spark: SparkSession, d: str) -> DataFrame:
+    load(spark, d, "orders").createOrReplaceTempView("orders")
+    return query(spark, "SELECT o_orderkey FROM orders WHERE o_totalprice > :low AND o_orderstatus = $state", {"low": 200000.0, "state": "F"})
+
+
+def collate_nocase(spark: SparkSession, d: str) -> DataFrame:
+    load(spark, d, "customer").createOrReplaceTempView("customer")
+    return query(spark, "SELECT c_custkey FROM customer WHERE c_mktsegment COLLATE NOCASE = 'building'")
+
+
+def parquet_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Written in order of a key and read back with a bound that prunes row groups."""
+    path = scratch(spark, "sorted")
+    parquet.write(load(spark, d, "orders"), path, sort=["o_totalprice"])
+    return spark.read.parquet(path).where("o_totalprice > 300000").select("o_orderkey", "o_totalprice")
+
+
 # -- range vectors ---------------------------------------------------------------
 
 _WINDOW = "CAST(epoch_us(ts) // 3600000000 * 3600000000 * 1000 AS BIGINT)"
@@ -252,6 +279,10 @@ def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "view": (view, "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS m FROM orders WHERE o_totalprice > 250000 GROUP BY o_custkey"),
+    "bound_parameters": (bound_parameters, "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'"),
+    "collate_nocase": (collate_nocase, "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'"),
+    "parquet_sink": (parquet_sink, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000"),
     "range_count_over_time": (range_count, f"SELECT {_WINDOW} AS window_start, count(*) AS n FROM events WHERE {_OPEN} GROUP BY 1"),
     "range_rate": (range_rate, f"SELECT {_WINDOW} AS window_start, round(count(*) / 3600.0::DOUBLE, 9) AS r FROM events GROUP BY 1"),
     "range_sum_avg_min_max": (range_values, f"SELECT {_WINDOW} AS window_start, round(coalesce(sum(value), 0), 4) AS s, round(avg(value), 6) AS a, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1"),

@@ -105,7 +105,8 @@ class EventTable:
         folder = f"{self.location}/{tier}-{uuid.uuid4().hex}"
         pattern = "yyyy-MM-dd-HH" if tier == "hour" else "yyyy-MM-dd"
         cut = df.withColumn("__part", F.coalesce(F.date_format(self._moment(), pattern), F.lit("none")))
-        cut = cut.repartition("__part").sortWithinPartitions("__part", *self.sort_key)
+        # rows of a part come together, and parts with very many rows are split
+        cut = cut.hint("rebalance", F.col("__part")).sortWithinPartitions("__part", *self.sort_key)
         cut.write.partitionBy("__part").parquet(folder)
         # statistics from what was written
         held = self.spark.read.parquet(folder).withColumn("__file", F.input_file_name())
