@@ -28,6 +28,28 @@ def session(app: str = "sparkloom", master: str | None = None, **conf: object) -
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, unless they find it where the driver does.
+
+    Functions that run in workers are looked up by module there.
+    """
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in os.environ.get("PYTHONPATH", "").split(":") or os.getcwd() == root or "site-packages" in root:
+        return
+    folder = tempfile.mkdtemp(prefix="sparkloom-")
+    shutil.copytree(Path(root, "sparkloom"), Path(folder, "pack", "sparkloom"), ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(Path(folder, "sparkloom")), "zip", Path(folder, "pack")))
+    _SHIPPED.add(app)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder of Parquet tables."""
     return spark.read.parquet(f"{os.fspath(sf_dir)}/{name}.parquet")

@@ -7,6 +7,8 @@ import sqlite3
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from sparkloom.session import ship
+
 
 def _kind(declared: str) -> T.DataType:
     """The Spark type of a declared type, by the affinity rules."""
@@ -47,6 +49,7 @@ def read(spark: SparkSession, path: str, table: str, rows_per_range: int = 100_0
 
     The file must be reachable by all executors under the same path.
     """
+    ship(spark)
     quoted = table.replace('"', '""')
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
         columns = [(r[1], _kind(r[2])) for r in con.execute(f'PRAGMA table_info("{quoted}")')]
