@@ -30,11 +30,12 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.common import bounded_rows
 
-#: Labelled rows used of each class, terms tried, and terms kept.
+#: Labelled rows used of each class, terms tried (the most frequent), and terms kept.
 TOXIC_ROWS, CLEAN_ROWS, TRIED_TERMS, KEPT_TERMS = 6_000, 10_000, 200_000, 20_000
-#: A term needs so many different toxic texts and such a ratio of shares.
+#: A term needs so many different toxic texts and such a ratio of shares (and a fifth
+#: of its texts may be clean).
 LEAST_TEXTS, LEAST_RATIO = 3, 8.0
-PREFIX_CHARS = (4, 5, 6)
+PREFIX_CHARS = (3, 4, 5, 6, 7)
 
 # Letters that look like Latin ones, and characters used for letters.
 LOOK_ALIKES = {
@@ -185,15 +186,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     one = one.groupBy("sig", "y").agg(F.min("text").alias("text")).persist()
     try:
         n = {r.y: r.n for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        tried = _count(one.where("y = 1"), None).orderBy(F.desc("n"), "term").limit(TRIED_TERMS).collect()
-        held = {r.term: r.n for r in tried if r.n >= LEAST_TEXTS}
+        tried = _count(one.where("y = 1"), None).where(F.col("n") >= LEAST_TEXTS)
+        tried = tried.orderBy(F.desc("n"), "term").limit(TRIED_TERMS).toPandas()
+        held = dict(zip(tried["term"], tried["n"].tolist()))
         shipped = spark.sparkContext.broadcast(frozenset(held))
-        clear = {r.term: r.n for r in _count(one.where("y = 0"), shipped).collect()}
+        clean_counts = _count(one.where("y = 0"), shipped).toPandas()
+        clear = dict(zip(clean_counts["term"], clean_counts["n"].tolist()))
         weights = {}
+        share = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
         for t, a in held.items():
             b = clear.get(t, 0)
             ratio = ((a + 0.5) / (n.get(1, 0) + 1)) / ((b + 0.5) / (n.get(0, 0) + 1))
-            if ratio >= LEAST_RATIO and b <= a:
+            if ratio >= LEAST_RATIO and 4 * b <= a and _surprise(a, b, share) > math.log(len(held)) + 1:
                 weights[t] = math.log(ratio) * (1 - math.exp(-a / 6))
         weights = _without_nested(weights, held)
         top = sorted(weights, key=lambda t: (-weights[t], t))[:KEPT_TERMS]
@@ -219,6 +223,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return lexicon
 
 
+def _surprise(a: int, b: int, share: float) -> float:
+    """How unlikely (a bound on minus the logarithm) so many of a term's texts are toxic by chance.
+
+    Many rare words occur in a few toxic texts only; a term has to beat the number of
+    terms that were tried.
+    """
+    p = a / (a + b)
+    out = p * math.log(p / share)
+    if b:
+        out += (1 - p) * math.log((1 - p) / (1 - share)) if share < 1 else math.inf
+    return (a + b) * out if p > share else 0.0
+
+
 def _count(texts: DataFrame, among) -> DataFrame:
     """In how many texts each term occurs; with ``among`` (broadcast), only those terms."""
 
