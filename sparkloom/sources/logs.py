@@ -8,6 +8,8 @@ batch and streaming inputs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,16 +114,29 @@ def _first(fields: Column, what: str) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _map_of(entries: Column) -> Column:
+    """A map of (key, value) entries; of two with one key the first counts."""
+    return _let(
+        entries,
+        lambda es: _let(
+            F.transform(es, lambda e: e["key"]),
+            lambda keys: F.map_from_entries(F.filter(es, lambda e, k: F.array_position(keys, e["key"]) == k + 1)),
+        ),
+    )
+
+
 def _rest(fields: Column) -> Column:
     """Keys that are not promoted; names of host, service and pid become those."""
     promoted = F.array(*[F.lit(a) for w in ("timestamp", "level", "message") for a in ALIASES[w]])
     renamed = {a: w for w in ("host", "service", "pid") for a in ALIASES[w]}
     kept = F.map_filter(fields, lambda k, v: ~F.array_contains(promoted, F.lower(k)))
     entries = F.transform(F.map_entries(kept), lambda e: F.struct(F.coalesce(_lookup(renamed, F.lower(e["key"])), e["key"]).alias("key"), e["value"].alias("value")))
-    # of two keys with one name the first counts
-    keys = F.transform(entries, lambda e: e["key"])
-    unique = F.filter(entries, lambda e, k: F.array_position(keys, e["key"]) == k + 1)
-    return F.map_from_entries(unique)
+    return _map_of(entries)
 
 
 def _syslog(line: Column, year: int) -> dict[str, Column]:
@@ -166,7 +181,7 @@ def _promoted(fields: Column) -> dict[str, Column]:
     }
 
 
-def _json(line: Column) -> dict[str, Column]:
+def _json(line: Column) -> Column:
     """Keys of the object and, behind a dot, of objects in it; arrays stay JSON text."""
     options = {"allowUnquotedControlChars": "true"}
     top = F.coalesce(F.from_json(line, "map<string,string>", options), F.create_map().cast("map<string,string>"))
@@ -185,11 +200,11 @@ def _json(line: Column) -> dict[str, Column]:
             ).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")))),
         )
     )
-    keys = F.transform(nested, lambda e: e["key"])
-    return _promoted(F.map_from_entries(F.filter(nested, lambda e, k: F.array_position(keys, e["key"]) == k + 1)))
+    return _map_of(nested)
 
 
-def _logfmt(line: Column) -> dict[str, Column]:
+def _logfmt(line: Column) -> Column:
+    """Keys with their values, quotes and escapes taken off."""
     pairs = F.regexp_extract_all(line, F.lit(_PAIR), F.lit(0))
 
     def entry(p: Column) -> Column:
@@ -197,9 +212,7 @@ def _logfmt(line: Column) -> dict[str, Column]:
         inside = F.regexp_replace(F.substring(value, 2, 1_000_000_000).substr(F.lit(1), F.length(value) - 2), r"\\(.)", "$1")
         return F.struct(F.regexp_extract(p, _PAIR, 1).alias("key"), F.when(value.startswith('"'), inside).otherwise(value).alias("value"))
 
-    entries = F.transform(pairs, entry)
-    keys = F.transform(entries, lambda e: e["key"])
-    return _promoted(F.map_from_entries(F.filter(entries, lambda e, k: F.array_position(keys, e["key"]) == k + 1)))
+    return _map_of(F.transform(pairs, entry))
 
 
 def _freeform(line: Column) -> dict[str, Column]:
@@ -218,15 +231,23 @@ def parse(lines: DataFrame, column: str = "value", format: str | None = None, ye
     """
     payload, container, when = unwrapped(F.col(column))
     line = F.col("__payload")
-    base = lines.select(F.col(column).alias("raw"), payload.alias("__payload"), container.alias("__kind"), when.alias("__when"))
+    # generators of one element: what stands in them is worked out once for a line
+    wrapped = F.struct(payload.alias("p"), container.alias("k"), when.alias("w"))
+    base = lines.select(F.col(column).alias("raw"), F.explode(F.array(wrapped)).alias("__w"))
+    base = base.select("raw", F.col("__w.p").alias("__payload"), F.col("__w.k").alias("__kind"), F.col("__w.w").alias("__when"))
     base = base.withColumn("format", F.lit(format) if format else format_of(line))
-    parsers = {"syslog": _syslog(line, year), "clf": _clf(line), "json": _json(line), "logfmt": _logfmt(line), "freeform": _freeform(line)}
-    names = [format] if format else list(parsers)
+    keyed = F.when(F.col("format") == "json", _json(line)).when(F.col("format") == "logfmt", _logfmt(line))
+    if format in (None, "json", "logfmt"):
+        base = base.select("*", F.explode(F.array(keyed)).alias("__fields"))
+    fields = F.col("__fields")
+    parsers = {"syslog": lambda: _syslog(line, year), "clf": lambda: _clf(line), "freeform": lambda: _freeform(line)}
+    parsers |= {"json": lambda: _promoted(fields), "logfmt": lambda: _promoted(fields)}
+    made = {f: parsers[f]() for f in ([format] if format else parsers)}
 
     def pick(what: str) -> Column:
         out = F
-        for f in names:
-            out = out.when(F.col("format") == f, parsers[f][what])
+        for f, columns in made.items():
+            out = out.when(F.col("format") == f, columns[what])
         return out
 
     out = base.select("raw", "format", "__kind", "__when", *[pick(w).alias(w) for w in ("timestamp", "severity", "facility", "message", "fields")])
