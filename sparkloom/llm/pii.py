@@ -26,6 +26,8 @@ replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +61,10 @@ PATTERNS = {
     "name": rf"\b(?:{_FORMS})\b\.?\s{{1,3}}\p{{Lu}}\p{{Ll}}+(?:[  ]\p{{Lu}}\p{{Ll}}+){{0,2}}",
 }
 ANY = "(?U)" + "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text that doesn't match this has no entity.
-HINT = rf"[0-9@]|(?i:pass|pwd|token|secret|api[_-]?key)|\b(?:{_FORMS})\b"
+_FIRSTS = "".join(sorted({f[0] for f in (*MALE, *FEMALE, *EITHER)}))
+#: A text that doesn't match this has no entity.  The look-ahead keeps most characters
+#: from being tried against every form of address.
+HINT = rf"[0-9@=:]|\b(?:AKIA|ASIA)[0-9A-Z]|(?=[{_FIRSTS}])\b(?:{_FORMS})\b"
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -69,6 +73,11 @@ def _hash(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 13), 16, 10).cast("bigint")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kind_of(m: Column) -> Column:
     """The type of a match of :data:`ANY`: the first pattern that fits the whole match."""
     out = F
@@ -121,43 +130,55 @@ def _permuted(key: str, kind: Column, digits: Column) -> Column:
         key, F.concat(kind, n.cast("string")),
         digits.substr(F.lit(1), h).cast("bigint"), digits.substr(h + 1, n - h).cast("bigint"), ten(h), ten(n - h),
     )
-    return F.concat(F.lpad(out["a"].cast("string"), h, "0"), F.lpad(out["b"].cast("string"), n - h, "0"))
+    return _let(out, lambda o: F.concat(F.lpad(o["a"].cast("string"), h, "0"), F.lpad(o["b"].cast("string"), n - h, "0")))
 
 
 def _luhn(digits: Column) -> Column:
     """The check digit that belongs behind ``digits``."""
-    n = F.length(digits)
 
-    def add(total: Column, k: Column) -> Column:
-        d = digits.substr(k, F.lit(1)).cast("int")
-        twice = d * 2
-        doubled = F.when(twice > 9, twice - 9).otherwise(twice)
-        return total + F.when((n - k) % 2 == 0, doubled).otherwise(d)
+    def of(digits: Column) -> Column:
+        n = F.length(digits)
+
+        def add(total: Column, k: Column) -> Column:
+            d = digits.substr(k, F.lit(1)).cast("int")
+            twice = d * 2
+            doubled = F.when(twice > 9, twice - 9).otherwise(twice)
+            return total + F.when((n - k) % 2 == 0, doubled).otherwise(d)
 
-    return F.pmod(-F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add), F.lit(10))
+        return F.pmod(-F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add), F.lit(10))
+
+    return _let(digits, of)
 
 
 def _reformatted(m: Column, digits: Column) -> Column:
     """``m`` with its last digits replaced by ``digits``; all else stays."""
-    skip = F.length(_digits(m)) - F.length(digits)
 
-    def put(state: Column, ch: Column) -> Column:
-        is_digit = ch.rlike("^[0-9]$")
-        at = state["k"] - skip
-        new = F.when(is_digit & (at >= 0), digits.substr(at + 1, F.lit(1))).otherwise(ch)
-        return F.struct(F.concat(state["s"], new).alias("s"), (state["k"] + is_digit.cast("int")).alias("k"))
+    def with_(given: Column) -> Column:
+        def put(state: Column, ch: Column) -> Column:
+            is_digit = ch.rlike("^[0-9]$")
+            at = state["k"] - given["skip"]
+            new = F.when(is_digit & (at >= 0), given["digits"].substr(at + 1, F.lit(1))).otherwise(ch)
+            return F.struct(F.concat(state["s"], new).alias("s"), (state["k"] + is_digit.cast("int")).alias("k"))
+
+        return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), put)["s"]
 
-    return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), put)["s"]
+    numbered = _let(digits, lambda d: F.struct(d.alias("digits"), (F.length(_digits(m)) - F.length(d)).alias("skip")))
+    return _let(numbered, with_)
 
 
 def _like(key: str, kind: Column, canon: Column, attempt: Column, length: Column, alphabet: str) -> Column:
     """``length`` characters of ``alphabet`` from a keyed hash."""
     parts = [F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"), F.lit(k)).cast("binary"), 256) for k in range(4)]
-    hexes = F.concat(*parts)  # 256 hex digits: 128 characters of up to 8 bits
-    pick = lambda k: F.substring(
-        F.lit(alphabet), 1, len(alphabet)
-    ).substr(F.pmod(F.conv(hexes.substr(F.pmod(k - 1, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int"), F.lit(len(alphabet))) + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), pick), "")
+    letters = F.lit(alphabet)
+
+    def drawn(hexes: Column) -> Column:
+        def pick(k: Column) -> Column:
+            byte = F.conv(hexes.substr(F.pmod(k - 1, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            return letters.substr(F.pmod(byte, F.lit(len(alphabet))) + 1, F.lit(1))
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), pick), "")
+
+    return _let(F.concat(*parts), drawn)  # 256 hex digits: 128 characters of up to 8 bits
 
 
 def _script(word: Column) -> Column:
@@ -166,17 +187,20 @@ def _script(word: Column) -> Column:
 
 def _named(key: str, kind: Column, word: Column, attempt: Column, gender: Column | None) -> Column:
     """A capitalised name of three or four syllables in the script of ``word``."""
-    h = _hash(key, kind, word, attempt.cast("string"))
-    out = F
-    for script, syllables in SYLLABLES.items():
-        table = F.array(*[F.lit(s) for s in syllables])
-        count = 4 if gender is None else 3
-        body = [F.element_at(table, (F.pmod(F.shiftright(h, 5 * k), F.lit(32)) + 1).cast("int")) for k in range(count)]
-        if gender is not None:
-            male, female, either = ENDINGS[script]
-            body.append(F.when(gender == "m", F.lit(male)).when(gender == "f", F.lit(female)).otherwise(F.lit(either)))
-        out = out.when(_script(word) == script, F.initcap(F.concat(*body)))
-    return out
+
+    def made(h: Column) -> Column:
+        out = F
+        for script, syllables in SYLLABLES.items():
+            table = F.array(*[F.lit(s) for s in syllables])
+            count = 4 if gender is None else 3
+            body = [F.element_at(table, (F.pmod(F.shiftright(h, 5 * k), F.lit(32)) + 1).cast("int")) for k in range(count)]
+            if gender is not None:
+                male, female, either = ENDINGS[script]
+                body.append(F.when(gender == "m", F.lit(male)).when(gender == "f", F.lit(female)).otherwise(F.lit(either)))
+            out = out.when(_script(word) == script, F.initcap(F.concat(*body)))
+        return out
+
+    return _let(_hash(key, kind, word, attempt.cast("string")), made)
 
 
 def _gender(m: Column) -> Column:
@@ -190,28 +214,30 @@ def _words(m: Column) -> Column:
 
 def entities(m: Column) -> Column:
     """The entities in a match: an array of (kind, canon).  A name is one for each word."""
-    kind = kind_of(m)
     words = _words(m)
     given = F.concat(F.lit("given-"), _gender(m))
     each = F.transform(
         words,
         lambda w, k: F.struct(F.when(k == F.size(words) - 1, F.lit("surname")).otherwise(given).alias("kind"), w.alias("canon")),
     )
-    return F.when(kind == "name", each).otherwise(F.array(F.struct(kind.alias("kind"), canonical(m, kind).alias("canon"))))
+    one = lambda kind: F.array(F.struct(kind.alias("kind"), canonical(m, kind).alias("canon")))
+    return _let(kind_of(m), lambda kind: F.when(kind == "name", each).otherwise(one(kind)))
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The surrogate of an entity's canonical value."""
     n = F.length(canon)
     first, rest = canon.substr(F.lit(1), F.lit(1)), canon.substr(F.lit(2), n - 2)
-    new_rest = _permuted(key, F.lit("card"), rest)
     # the last digit keeps its distance from the right check digit: one to one as well
     off = F.pmod(canon.substr(n, F.lit(1)).cast("int") - _luhn(F.concat(first, rest)), F.lit(10))
-    card = F.concat(first, new_rest, F.pmod(_luhn(F.concat(first, new_rest)) + off, F.lit(10)).cast("string"))
+    card = _let(
+        F.concat(first, _permuted(key, F.lit("card"), rest)),
+        lambda new: F.concat(new, F.pmod(_luhn(new) + off, F.lit(10)).cast("string")),
+    )
     octet = [F.split_part(canon, F.lit("."), F.lit(k)).cast("bigint") for k in (1, 2, 3, 4)]
     two = F.lit(65536).cast("bigint")
     ip = _feistel(key, F.lit("ip"), octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], two, two)
-    address = F.concat_ws(".", *[x.cast("string") for x in (F.floor(ip["a"] / 256), ip["a"] % 256, F.floor(ip["b"] / 256), ip["b"] % 256)])
+    address = _let(ip, lambda o: F.concat_ws(".", *[x.cast("string") for x in (F.floor(o["a"] / 256), o["a"] % 256, F.floor(o["b"] / 256), o["b"] % 256)]))
     lower = "abcdefghijklmnopqrstuvwxyz234567"
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     mail = F.concat(_like(key, kind, canon, attempt, F.lit(12), lower), F.lit("@example.org"))
@@ -242,15 +268,18 @@ def _replacement(key: str, m: Column, attempts: Column | None) -> Column:
             F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws("|", e["kind"], e["canon"])), F.lit(0)),
         ),
     )
-    kind = kind_of(m)
-    one = parts[0]
     address = F.regexp_extract(m, rf"^(?:{_FORMS})\.?\s+", 0)
-    return (
-        F.when(kind == "name", F.concat(address, F.array_join(parts, " ")))
-        .when(kind.isin("phone", "ssn", "card"), _reformatted(m, one))
-        .when(kind == "secret", F.concat(F.regexp_extract(m, r"^.*?[=:]\s{0,3}[\"']?", 0), one))
-        .otherwise(one)
-    )
+
+    def put(given: Column) -> Column:
+        kind, one = given["kind"], given["parts"][0]
+        return (
+            F.when(kind == "name", F.concat(address, F.array_join(given["parts"], " ")))
+            .when(kind.isin("phone", "ssn", "card"), _reformatted(m, one))
+            .when(kind == "secret", F.concat(F.regexp_extract(m, r"^.*?[=:]\s{0,3}[\"']?", 0), one))
+            .otherwise(one)
+        )
+
+    return _let(F.struct(kind_of(m).alias("kind"), parts.alias("parts")), put)
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -308,7 +337,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_
     new = F.transform(F.col("__m"), lambda m: _replacement(key, m, attempts))
     pieces = F.split(body, ANY, -1)
     joined = F.array_join(F.zip_with(pieces, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    found = docs.withColumn("__m", matches)
+    # a generator of one element: matches are looked for once, however often they are used
+    found = docs.withColumn("__m", F.explode(F.array(matches)))
     any_ = F.coalesce(F.size("__m"), F.lit(0)) > 0
     return found.select(
         *[F.col(f"`{c}`") for c in cols],
