@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from sparkloom.llm._pieces import SPACE, Vocabulary, pieces_apart, segments
 
 #: Longer segments are encoded anew each time; a worker's cache holds so many others.
-CACHED_CHARS, CACHED_SEGMENTS = 48, 800_000
+CACHED_CHARS, CACHED_SEGMENTS = 48, 250_000
 
 
 class Merger:
@@ -126,7 +126,7 @@ class Merger:
                 known = self._unwound(a, b)
             else:
                 known = self.merge(list(self.name[a] + self.name[b])) == [self.name[a], self.name[b]]
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             self.fits[a << 24 | b] = known
         return known
