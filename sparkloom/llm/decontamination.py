@@ -5,8 +5,9 @@ Method.  Words become template words: numbers (digits or spelled out), names
 placeholders, other words are lower-cased without marks around them.  Windows of
 ``WIDTH`` template words of the benchmark are hashed; a document's windows are looked
 up.  Where windows of an item are found, the slots are compared: a value of the item
-must stand for one value of the document throughout, whichever it is, so a question
-with other numbers or names is caught and a mere likeness of form is not.  An item is
+must stand for one value throughout an occurrence, whichever it is, so a question
+with other numbers or names is caught and a mere likeness of form is not.  Each
+occurrence, told by its alignment with the item, is judged by itself.  An item is
 found in a document when windows with consistent slots cover at least ``LEAST`` of
 its words.
 
@@ -20,6 +21,7 @@ give their rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -169,26 +171,51 @@ class Index:
             n = int(self.sizes[item])
             if len({q + d for _, q in pairs for d in range(WIDTH)}) < LEAST * n:
                 continue
-            covered, changed = self._consistent(t, item, pairs)
+            covered, changed = self._best(t, item, pairs)
             if covered >= LEAST * n:
                 out[lot[o]].append((self.ids[item], covered / n, changed))
 
-    def _consistent(self, t: Template, item: int, pairs: list[tuple[int, int]]) -> tuple[int, bool]:
-        """Words of the item covered by windows whose slots agree with the most frequent assignment."""
+    def _best(self, t: Template, item: int, pairs: list[tuple[int, int]]) -> tuple[int, bool]:
+        """Words covered by the occurrence that covers most, and if its slots have other values.
+
+        An occurrence is what lies along one alignment (document position minus item
+        position); windows up to an item's length away from it fill in what was moved.
+        All windows of the document together are tried as well.
+        """
+        n = int(self.sizes[item])
+        hits = sorted((p - q, p, q) for p, q in pairs)
+        aligned = [h[0] for h in hits]
+        best = self._consistent(t, item, hits, None)
+        for d in dict.fromkeys(aligned):
+            if best == (n, False):
+                break
+            own = hits[bisect_left(aligned, d - n) : bisect_right(aligned, d + n)]
+            if len({q + k for _, _, q in own for k in range(WIDTH)}) >= LEAST * n:
+                best = max(best, self._consistent(t, item, own, d), key=lambda x: (x[0], not x[1]))
+        return best
+
+    def _consistent(self, t: Template, item: int, hits: list[tuple[int, int, int]], d: int | None) -> tuple[int, bool]:
+        """Words of the item covered by windows whose slots agree with the most frequent assignment.
+
+        Windows at about the alignment ``d`` decide first; others only on values those lack.
+        """
         values = self.values[item]
         seen: dict[tuple[int, bytes], Counter] = {}
         slots = []
-        for p, q in pairs:
-            own = [(values[q + d], t.value(p + d)) for d in range(WIDTH) if values[q + d] is not None]
+        for at, p, q in hits:
+            own = [(values[q + k], t.value(p + k)) for k in range(WIDTH) if values[q + k] is not None]
             slots.append(own)
+            weight = len(hits) + 1 if d is not None and abs(at - d) < WIDTH else 1
             for mine, theirs in own:
-                seen.setdefault(mine, Counter())[theirs] += 1
+                seen.setdefault(mine, Counter())[theirs] += weight
         stands = {mine: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for mine, c in seen.items()}
         covered: set[int] = set()
-        for (p, q), own in zip(pairs, slots):
+        changed = False
+        for (_, _, q), own in zip(hits, slots):
             if all(stands[mine] == theirs for mine, theirs in own):
                 covered.update(range(q, q + WIDTH))
-        return len(covered), any(v != m[1] for m, v in stands.items())
+                changed = changed or any(mine[1] != theirs for mine, theirs in own)
+        return len(covered), changed
 
 
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[Index]:

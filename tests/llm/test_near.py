@@ -184,6 +184,30 @@ def test_reparameterised_questions():
     assert decontamination.template("In 2019 John Smith ran 12 km with Anna.") == "in <number> <name> <name> ran <number> <unit> with <name>"
 
 
+def test_each_occurrence_counts():
+    """Variants with other values beside each other hide neither a copy nor one another."""
+    names = "Peter Lucy Karl Bob Anna Maria Hugo Nina Otto Paula".split()
+    index = decontamination.Index([(1, QUESTION)])
+
+    def variant(rng: random.Random) -> str:
+        a, b = rng.sample(names, 2)
+        x, y = rng.sample(range(20, 90), 2)
+        return QUESTION.replace("John", a).replace("Mary", b).replace("12", str(x)).replace("5", str(y))
+
+    rng = random.Random(5)
+    for many in (1, 2, 3, 5, 12):
+        for copy in (True, False):
+            texts = []
+            for _ in range(20):
+                own = [variant(rng) for _ in range(many + 1 - copy)] + [QUESTION] * copy
+                rng.shuffle(own)
+                texts.append(rng.choice([". ", " ", "\nwell then "]).join(own))
+            got = index.found(texts)
+            assert all(len(g) == 1 and g[0][:2] == (1, 1.0) and g[0][2] is not copy for g in got), (many, copy, got)
+    broken = [QUESTION.replace("named John", f"named {a}").replace("does John", f"does {b}") for a, b in zip(names[::2], names[1::2])]
+    assert all(not g or g[0][1] < 1.0 for g in index.found([b for b in broken]))
+
+
 def test_matches_and_filter(spark):
     rng = random.Random(2)
     prose = lambda n: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
