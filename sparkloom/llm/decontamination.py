@@ -4,7 +4,9 @@ Method.  Words become template words: numbers (digits or spelled out), names
 (capitalised inside a sentence) and units behind a number turn into typed
 placeholders, other words are lower-cased without marks around them.  Windows of
 ``WIDTH`` template words of the benchmark are hashed; a document's windows are looked
-up.  Where windows of an item are found, the slots are compared: a value of the item
+up.  Where slots stand so close that a window has fewer than ``WORDS`` other words, the
+stretch over as many words is hashed instead, and slots at an item's ends are compared
+next to it.  Where windows of an item are found, the slots are compared: a value of the item
 must stand for one value throughout an occurrence, whichever it is, so a question
 with other numbers or names is caught and a mere likeness of form is not.  Each
 occurrence, told by its alignment with the item, is judged by itself.  An item is
@@ -15,7 +17,9 @@ Documents are read whole, in one pass for each block of benchmark windows; a blo
 bounded, so is what is broadcast.
 
 Defined results: null and empty documents hold nothing.  Items of fewer than
-``WIDTH`` words, and null items, are never found.  Repeated items and documents each
+``WIDTH`` words are one window.  Items with fewer than ``WORDS`` words besides slots
+are found where all their words stand as they are, since their template fits too much;
+items without words, and null items, are never found.  Repeated items and documents each
 give their rows.
 """
 
@@ -30,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm._words import CHUNK, rows_of, words
+from sparkloom.llm._words import CHUNK, _powers, mix, rows_of, words
 
 #: Template words of a window, share of an item's words that must be covered, most
 #: slots in a window, items of a block (each is cut into windows on the driver).
 WIDTH, LEAST, MOST_SLOTS, BLOCK_ITEMS = 5, 0.8, 2, 50_000
+#: Words other than slots that a window has at least.
+WORDS = WIDTH - MOST_SLOTS
 
 # Spelled-out numbers and units.
 NUMBERS = (
@@ -97,18 +103,28 @@ class Template:
         unit = np.concatenate(([False], number[:-1])) & ~number & _among(h, _UNIT_HASHES) if len(h) else np.zeros(0, bool)
         name = capital & small_next & ~opens & ~number & ~unit
         self.kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL))).astype(np.uint8)
+        self.exact = h
         self.hash = np.where(self.kind == LITERAL, h, _PLACE[self.kind])
         self.starts, self.ends = starts, ends
         self.first = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t.encode("utf-8", "replace")) + 1 for t in texts]))))
 
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and hashes of what lies between a word and the ``WORDS - 1``st after it, slots aside, where longer than a window."""
+        literal = np.flatnonzero(self.kind == LITERAL)
+        a, b = literal[: max(0, len(literal) - WORDS + 1)], literal[WORDS - 1 :] + 1
+        long = b - a > WIDTH
+        a, b = a[long], b[long]
+        up, down = _powers(len(self.hash) + 1)
+        total = np.zeros(len(self.hash) + 1, np.uint64)
+        np.cumsum(mix(self.hash) * up[:-1], out=total[1:])
+        return a, b, mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+
     def value(self, k: int) -> bytes:
         return self.body[self.starts[k] : self.ends[k]].lower()
 
 
 def _rehash(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of given stretches of bytes, as :func:`words` makes them."""
-    from sparkloom.llm._words import _powers, mix
-
     up, down = _powers(len(joined) + 1)
     total = np.zeros(len(joined) + 1, np.uint64)
     np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
@@ -116,7 +132,12 @@ def _rehash(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 class Index:
-    """The windows of a block of benchmark items."""
+    """The windows of a block of benchmark items.
+
+    Tables of (hash, item, place, width) by what is looked up in a document: windows
+    of ``WIDTH`` template words, longer stretches with enough words among slots, whole
+    items of each smaller width, and beginnings of items that are compared word by word.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
@@ -124,16 +145,39 @@ class Index:
         self.sizes = np.diff(t.first)
         rows = rows_of(t.hash, WIDTH)
         slots = np.concatenate(([0], np.cumsum(t.kind != LITERAL)))
-        item, at, h = [], [], []
+        found: dict[tuple[str, int], list[tuple]] = {}
+        from_, to, stretch = t.stretches()
+        self.kinds, self.exact = [], {}
+        #: places of each item that no window has: slots at its ends, far from words
+        self.loose: list[set[int]] = []
         for k, (a, b) in enumerate(zip(t.first[:-1].tolist(), t.first[1:].tolist())):
-            for p in range(a, b - WIDTH + 1):
-                if slots[p + WIDTH] - slots[p] <= MOST_SLOTS:
-                    item.append(k)
-                    at.append(p - a)
-                    h.append(rows[p])
-        order = np.argsort(np.array(h, np.uint64), kind="stable") if h else np.zeros(0, np.int64)
-        self.hash = np.array(h, np.uint64)[order] if h else np.zeros(0, np.uint64)
-        self.item, self.at = np.array(item, np.int64)[order], np.array(at, np.int64)[order]
+            n = b - a
+            self.kinds.append(t.kind[a:b].copy())
+            held: set[int] = set()
+            if n and n - (slots[b] - slots[a]) < WORDS:
+                # too few words for a template: the item as it is
+                w = min(n, WIDTH)
+                self.exact[k] = t.exact[a:b].copy()
+                found.setdefault(("exact", w), []).append((rows_of(t.exact[a : a + w], w)[0], k, 0, n))
+                held.update(range(n))
+            elif 0 < n < WIDTH:
+                found.setdefault(("whole", n), []).append((rows_of(t.hash[a:b], n)[0], k, 0, n))
+                held.update(range(n))
+            else:
+                for p in range(a, b - WIDTH + 1):
+                    if slots[p + WIDTH] - slots[p] <= MOST_SLOTS:
+                        found.setdefault(("whole", WIDTH), []).append((rows[p], k, p - a, WIDTH))
+                        held.update(range(p - a, p - a + WIDTH))
+                for e in range(*np.searchsorted(from_, (a, b)).tolist()):
+                    if to[e] <= b:
+                        found.setdefault(("stretch", 0), []).append((stretch[e], k, int(from_[e]) - a, int(to[e] - from_[e])))
+                        held.update(range(int(from_[e]) - a, int(to[e]) - a))
+            self.loose.append(set(range(n)) - held)
+        self.tables = {}
+        for name, own in found.items():
+            h = np.array([r[0] for r in own], np.uint64)
+            order = np.argsort(h, kind="stable")
+            self.tables[name] = (h[order], *(np.array([r[c] for r in own], np.int64)[order] for c in (1, 2, 3)))
         self.values = [[(int(t.kind[p]), t.value(p)) if t.kind[p] else None for p in range(a, b)] for a, b in zip(t.first[:-1], t.first[1:])]
 
     def found(self, texts: list[str | None]) -> list[list[tuple[int, float, bool]]]:
@@ -153,29 +197,46 @@ class Index:
         return out
 
     def _lot(self, texts: list[str | None], lot: list[int], out: list[list]) -> None:
-        if not len(self.hash):
-            return
         t = Template([texts[k] for k in lot])
-        rows = rows_of(t.hash, WIDTH)
-        left = np.searchsorted(self.hash, rows, "left")
-        hits = np.flatnonzero(self.hash[np.minimum(left, len(self.hash) - 1)] == rows)
-        owner = np.searchsorted(t.first, hits, "right") - 1
-        inside = hits + WIDTH <= t.first[np.minimum(owner + 1, len(lot))]
-        by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for p, o in zip(hits[inside].tolist(), owner[inside].tolist()):
-            e = left[p]
-            while e < len(self.hash) and self.hash[e] == rows[p]:
-                by.setdefault((o, int(self.item[e])), []).append((p, int(self.at[e])))
-                e += 1
+        by: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
+        for (what, width), table in self.tables.items():
+            if what == "stretch":
+                starts, _, rows = t.stretches()
+            else:
+                rows = rows_of(t.exact if what == "exact" else t.hash, width)
+                starts = np.arange(len(rows))
+            left = np.searchsorted(table[0], rows, "left")
+            hits = np.flatnonzero(table[0][np.minimum(left, len(table[0]) - 1)] == rows)
+            owner = np.searchsorted(t.first, starts[hits], "right") - 1
+            for x, p, o in zip(hits.tolist(), starts[hits].tolist(), owner.tolist()):
+                stop = int(t.first[o + 1])
+                e = left[x]
+                while e < len(table[0]) and table[0][e] == rows[x]:
+                    item, q, w = (int(c[e]) for c in table[1:])
+                    e += 1
+                    if p + w <= stop and (what != "exact" or np.array_equal(t.exact[p : p + w], self.exact[item])):
+                        own = by.setdefault((o, item), set())
+                        own.add((p, q, w))
+                        if self.loose[item]:
+                            self._extend(t, item, (p, q, w), int(t.first[o]), stop, own)
         for (o, item), pairs in sorted(by.items()):
             n = int(self.sizes[item])
-            if len({q + d for _, q in pairs for d in range(WIDTH)}) < LEAST * n:
+            if len({q + d for _, q, w in pairs for d in range(w)}) < LEAST * n:
                 continue
             covered, changed = self._best(t, item, pairs)
             if covered >= LEAST * n:
                 out[lot[o]].append((self.ids[item], covered / n, changed))
 
-    def _best(self, t: Template, item: int, pairs: list[tuple[int, int]]) -> tuple[int, bool]:
+    def _extend(self, t: Template, item: int, hit: tuple[int, int, int], first: int, stop: int, own: set) -> None:
+        """Slots next to a hit that no window has, as far as they are of the same kinds."""
+        p, q, w = hit
+        kinds, loose = self.kinds[item], self.loose[item]
+        for step, k in ((-1, -1), (1, w)):
+            while q + k in loose and first <= p + k < stop and t.kind[p + k] == kinds[q + k]:
+                own.add((p + k, q + k, 1))
+                k += step
+
+    def _best(self, t: Template, item: int, pairs: set[tuple[int, int, int]]) -> tuple[int, bool]:
         """Words covered by the occurrence that covers most, and if its slots have other values.
 
         An occurrence is what lies along one alignment (document position minus item
@@ -183,18 +244,18 @@ class Index:
         All windows of the document together are tried as well.
         """
         n = int(self.sizes[item])
-        hits = sorted((p - q, p, q) for p, q in pairs)
+        hits = sorted((p - q, p, q, w) for p, q, w in pairs)
         aligned = [h[0] for h in hits]
         best = self._consistent(t, item, hits, None)
         for d in dict.fromkeys(aligned):
             if best == (n, False):
                 break
             own = hits[bisect_left(aligned, d - n) : bisect_right(aligned, d + n)]
-            if len({q + k for _, _, q in own for k in range(WIDTH)}) >= LEAST * n:
+            if len({q + k for _, _, q, w in own for k in range(w)}) >= LEAST * n:
                 best = max(best, self._consistent(t, item, own, d), key=lambda x: (x[0], not x[1]))
         return best
 
-    def _consistent(self, t: Template, item: int, hits: list[tuple[int, int, int]], d: int | None) -> tuple[int, bool]:
+    def _consistent(self, t: Template, item: int, hits: list[tuple[int, int, int, int]], d: int | None) -> tuple[int, bool]:
         """Words of the item covered by windows whose slots agree with the most frequent assignment.
 
         Windows at about the alignment ``d`` decide first; others only on values those lack.
@@ -202,8 +263,8 @@ class Index:
         values = self.values[item]
         seen: dict[tuple[int, bytes], Counter] = {}
         slots = []
-        for at, p, q in hits:
-            own = [(values[q + k], t.value(p + k)) for k in range(WIDTH) if values[q + k] is not None]
+        for at, p, q, w in hits:
+            own = [(values[q + k], t.value(p + k)) for k in range(w) if values[q + k] is not None]
             slots.append(own)
             weight = len(hits) + 1 if d is not None and abs(at - d) < WIDTH else 1
             for mine, theirs in own:
@@ -211,9 +272,9 @@ class Index:
         stands = {mine: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for mine, c in seen.items()}
         covered: set[int] = set()
         changed = False
-        for (_, _, q), own in zip(hits, slots):
+        for (_, _, q, w), own in zip(hits, slots):
             if all(stands[mine] == theirs for mine, theirs in own):
-                covered.update(range(q, q + WIDTH))
+                covered.update(range(q, q + w))
                 changed = changed or any(mine[1] != theirs for mine, theirs in own)
         return len(covered), changed
 

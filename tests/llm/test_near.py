@@ -208,6 +208,20 @@ def test_each_occurrence_counts():
     assert all(not g or g[0][1] < 1.0 for g in index.found([b for b in broken]))
 
 
+def test_items_dense_in_slots_and_short_ones():
+    train, series = "A train ran 12 km in 3 hours and 5 km in 2 hours", "What number comes next: 2, 4, 8, 16, 32, 64, 128, 256"
+    items = [train, series, "12, 7 and 19", "Who wrote Hamlet?", "boil three eggs slowly", "7 8 9 10 11 12 13", "..."]
+    index = decontamination.Index(list(enumerate(items)))
+    for k, x in enumerate(items[:-1]):
+        for text in (x, f"Before it. {x} and after", f"5 6 {x.lower()} 3 4"):
+            assert (k, 1.0, False) in index.found([text])[0], text
+    assert index.found([items[-1], "boil three", "12, 7 and 20", "7 8 9 10 11 12 14", "Before\n7 8 9 10"]) == [[], [], [], [], []]
+    other = train.replace("12", "70").replace("3", "4").replace("5", "9").replace("2 h", "8 h")
+    assert index.found([f"x {other} y", series.replace("2, 4", "3, 6"), "boil nine eggs slowly"]) == [[(0, 1.0, True)], [(1, 1.0, True)], [(4, 1.0, True)]]
+    assert index.found(["12 km in 3 hours", f"{train[:20]} zz", "boil three", "eggs slowly"]) == [[], [], [], []]
+    assert index.found([train[:30], train[30:], "x"]) == [[], [], []]
+
+
 def test_matches_and_filter(spark):
     rng = random.Random(2)
     prose = lambda n: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
