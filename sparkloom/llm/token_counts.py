@@ -147,14 +147,14 @@ def token_counts(
         for batch in batches:
             texts = batch.column(1).to_pylist()
             cuts = [r.cut(t or "") for t in texts]
-            lacking = list({p for parts, _ in cuts for p in parts}.difference(cache))
-            new = dict(zip(lacking, r.count(lacking))) if lacking else {}
-            missed += len(new)
-            if missed > 4 * CACHE_ENTRIES:
+            if missed > 4 * CACHE_ENTRIES:  # before it is seen what this batch lacks
                 words, counts = shipped.value
                 cache.clear()
                 cache.update(zip(words.split("\0"), counts) if counts else ())
                 missed = 0
+            lacking = list({p for parts, _ in cuts for p in parts}.difference(cache))
+            new = dict(zip(lacking, r.count(lacking))) if lacking else {}
+            missed += len(new)
             room = CACHE_ENTRIES - len(cache)
             over = {}
             for p, n in new.items():

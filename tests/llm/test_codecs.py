@@ -88,6 +88,20 @@ def test_counts(spark, library, tokenizer, path):
         assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (n, len(t.encode()), n > 400), repr(t)
 
 
+def test_counts_when_the_cache_is_emptied(spark, library, monkeypatch):
+    """Words cached before a batch and met again in the one that empties the cache."""
+    monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 40)
+    monkeypatch.setattr(token_counts, "TABLE_ENTRIES", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        given = [f"same words of all texts {k % 7}x{k % 7} and new{k} rare{k * k} odd{k % 30}" for k in range(300)]
+        docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, PIECES).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: len(library.encode(t)) for k, t in enumerate(given)}
+
+
 def test_code_lengths_are_best():
     rng = random.Random(2)
     for _ in range(60):
