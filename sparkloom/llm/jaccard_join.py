@@ -147,8 +147,8 @@ def lists(nodes: DataFrame, percent: int) -> DataFrame:
 
     First lists of one entry, and entries that no other one of the list can link with
     for their sizes and positions, are left out; then bitmaps are fetched, and entries
-    that those rule out go too.  Lists with the same entries left are one, as similar
-    sets share many.  A list longer than ``PART`` is dealt to parts; each pair of parts
+    that those rule out go too.  Lists with the same entries left, in the same parts, are one, as
+    similar sets share many.  A list longer than ``PART`` is dealt to parts; each pair of parts
     (``lo``, ``hi``) is a task of its own, and an entry goes to all pairs with its
     part.
     """
@@ -209,7 +209,10 @@ def lists(nodes: DataFrame, percent: int) -> DataFrame:
                 pass
             left = [held[k] for k in np.flatnonzero(mark).tolist()]
             if left:
-                members = digest(np.sort(np.array([e[3] for e in left], np.int64)).view(np.uint64))
+                # parts belong to the key: lists of other lengths deal the same members differently
+                left.sort(key=lambda e: e[3])
+                held_by = np.array([[e[3] for e in left], [e[0] for e in left]], np.int64).view(np.uint64)
+                members = digest(held_by.reshape(-1))
                 out.extend((members, lo, hi, part, n, d) for part, n, _, d, _ in left)
             if len(out) > 10_000:
                 yield batch_of()

@@ -77,6 +77,24 @@ def test_classes_with_long_lists(spark, monkeypatch):
     assert got == plain_classes(rows, 4, 85)
 
 
+def test_lists_dealt_differently_stay_apart(spark, monkeypatch):
+    """A pair left in a list of two parts and in one of three keeps the parts of each."""
+    monkeypatch.setattr(jaccard_join, "PART", 4)
+    monkeypatch.setattr(jaccard_join, "CHECKED", 0)
+    dealt = spark.range(500).selectExpr("id", "pmod(xxhash64(id), 2) AS two", "pmod(xxhash64(id), 3) AS three").collect()
+    a = next(r.id for r in dealt if (r.two, r.three) == (0, 1))
+    b = next(r.id for r in dealt if (r.two, r.three) == (1, 0))
+    rng = np.random.default_rng(1)
+    near, size = rng.bytes(32), 100
+    nodes = [(a, size, [1, 2], near), (b, size, [1, 2], near)]
+    nodes += [(1000 + k, size, [1 if k < 6 else 2], rng.bytes(32)) for k in range(16)]
+    got = jaccard_join.lists(spark.createDataFrame(nodes, "d long, n long, prefix array<long>, bits binary"), 85).collect()
+    lists: dict = {}
+    for r in got:
+        lists.setdefault((r.token, r.lo, r.hi), set()).add((r.d, r.part))
+    assert sorted(map(sorted, lists.values())) == sorted([sorted([(a, 0), (b, 1)]), sorted([(a, 1), (b, 0)])])
+
+
 def test_classes_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.classes(none).count() == 0
