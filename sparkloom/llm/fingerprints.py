@@ -129,7 +129,10 @@ def _walk(texts: list[str]) -> list[np.ndarray]:
         i, n, step, got = 0, e - p, j, []
         known = lev[: step + 3 * n + 2].tobytes() if step + 3 * n + 2 <= len(lev) else levels(step + 3 * n + 2)[: step + 3 * n + 2].tobytes()
         last = len(known)
-        while i < n and step < last:
+        while i < n:
+            if step == last:  # a slow walk
+                known = levels(2 * last)[: 2 * last].tobytes()
+                last = len(known)
             s = here[i]
             if known[step] >= k:
                 got.append(s)

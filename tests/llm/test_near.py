@@ -147,6 +147,13 @@ def test_walks_side_by_side():
         assert f.tolist() == slow_walk(t)
 
 
+def test_walks_alone_as_in_company():
+    rng = random.Random(13)
+    texts = [sentence(rng, 2)[: rng.randint(1, 10)] for _ in range(300)]
+    for t, f in zip(texts, fingerprints.fingerprints(texts)):
+        assert fingerprints.fingerprints([t])[0].tolist() == f.tolist() == slow_walk(t), t
+
+
 def test_likeness():
     rng = random.Random(7)
     for n in (60, 400, 3000):
