@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,11 +135,18 @@ def stream_stream_join(spark: SparkSession, d: str) -> DataFrame:
     return joins.between_streams(a, b, F.col("ua") == F.col("ub"), "ta", "tb", 6 * HOUR).select("a", "b")
 
 
+def _day_by_day(events: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """The number of each day of the table, from 1, and the events up to its end."""
+    first, n = events.agg(F.min(F.to_date("ts")), F.datediff(F.max("ts"), F.min("ts")) + 1).first()
+    for day in range(1, (n or 0) + 1):
+        yield day, events.where(F.to_date("ts") < F.date_add(F.lit(first), day))
+
+
 def standing_on_change(spark: SparkSession, d: str) -> DataFrame:
     """How often a standing count tells something new while the days come in."""
     events = load(spark, d, "events")
     watch = StandingQuery(lambda df: df.where("event_type = 'error'").agg(F.count(F.lit(1)).alias("n")), "on_change")
-    told = [(day, r[0].n) for day in range(1, 8) if (r := watch.poll(events.where(F.dayofmonth("ts") <= day)))]
+    told = [(day, r[0].n) for day, seen in _day_by_day(events) if (r := watch.poll(seen))]
     return spark.createDataFrame(told, "day int, n bigint")
 
 
@@ -148,7 +155,7 @@ def standing_threshold(spark: SparkSession, d: str) -> DataFrame:
     events = load(spark, d, "events")
     count = F.count(F.lit(1))
     watch = StandingQuery(lambda df: df.where("event_type = 'error'").agg(count.alias("n")), "threshold", ">", 3, hold_ns=2)
-    told = [(day, r[0].n) for day in range(1, 8) if (r := watch.poll(events.where(F.dayofmonth("ts") <= day), now_ns=day))]
+    told = [(day, r[0].n) for day, seen in _day_by_day(events) if (r := watch.poll(seen, now_ns=day))]
     return spark.createDataFrame(told, "day int, n bigint")
 
 
@@ -245,26 +252,26 @@ def rollup_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def ingest_append_compact(spark: SparkSession, d: str) -> DataFrame:
     """Two appends and a compaction keep all rows."""
-    events = load(spark, d, "events").where("day(ts) <= 3")
+    events = load(spark, d, "events")
     t = EventTable(spark, scratch(spark, "events"), stats=["ts", "user_id"])
     t.append(events.where("event_id % 2 = 0"))
     t.append(events.where("event_id % 2 = 1"))
     t.compact()
-    return t.snapshot().select("event_id", "event_type")
+    return t.snapshot().where("day(ts) <= 3").select("event_id", "event_type")
 
 
 def schema_widen(spark: SparkSession, d: str) -> DataFrame:
     """An int column becomes double, a new one is NULL in older files."""
-    events = load(spark, d, "events").where("day(ts) = 1")
+    events = load(spark, d, "events")
     t = EventTable(spark, scratch(spark, "events"))
     t.append(events.selectExpr("event_id", "ts", "CAST(user_id AS INT) AS v"))
     t.append(events.selectExpr("event_id + 1000000 AS event_id", "ts", "value AS v", "event_type AS more"))
-    return t.snapshot().select("event_id", "v", "more")
+    return t.snapshot().where("day(ts) = 1").select("event_id", "v", "more")
 
 
 def manifest_prune(spark: SparkSession, d: str) -> DataFrame:
     """A bound on the statistics columns reads the day's files only."""
-    events = load(spark, d, "events").where("day(ts) <= 4")
+    events = load(spark, d, "events")
     t = EventTable(spark, scratch(spark, "events"), stats=["ts"])
     t.append(events)
     t.compact()

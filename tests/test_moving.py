@@ -191,3 +191,34 @@ def test_rollups(spark):
     assert rows.count() == 3
     rows, kept = rollups.evict(rows, kept, "timestamp", 10, ["v"], 25 * 10**9)
     assert tuple(rollups.totals(rows, kept, "timestamp", 10, ["v"]).first()) == (8, 55.0, 1.0, 13.0)
+
+
+def test_whole_tables_are_ingested_and_polled(spark, sf, monkeypatch):
+    """Appending, compacting, widening and pruning see all events, standing queries all days."""
+    from sparkloom.plans import moving
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    given = []
+
+    class Counted:
+        files = [None]
+
+        def __init__(self, *_, **__):
+            given.clear()
+
+        append = staticmethod(lambda df: given.append(df.count()))
+        compact = staticmethod(lambda: 0)
+        candidates = staticmethod(lambda bounds: [])
+        snapshot = staticmethod(lambda **_: events.selectExpr("*", "user_id AS v", "user_id AS more"))
+
+    monkeypatch.setattr(moving, "EventTable", Counted)
+    n = events.count()
+    for query, times in ((moving.ingest_append_compact, 1), (moving.schema_widen, 2), (moving.manifest_prune, 1)):
+        query(spark, sf)
+        assert sum(given) == times * n, query.__name__
+    days = []
+    monkeypatch.setattr(StandingQuery, "poll", lambda self, df, now_ns=0: days.append(df.count()) or [])
+    for query in (moving.standing_on_change, moving.standing_threshold):
+        days.clear()
+        query(spark, sf)
+        assert len(days) == events.selectExpr("day(ts)").distinct().count() and days[-1] == n
