@@ -12,10 +12,13 @@ Fingerprints are compared by the share of samples that agree.  For near duplicat
 bands of samples are join keys, and what meets in a band is verified.
 
 Walks of a batch run side by side, one numpy operation a step for all texts; the few
-longest are finished one by one.
+longest are finished one by one, and very long texts are walked alone.
 
 Defined results: null counts as empty; empty texts have the fingerprint ``0:`` and
-likeness 1 with each other, 0 with others.  Equal texts have equal fingerprints.
+likeness 1 with each other, 0 with others.  Equal texts have equal fingerprints.  Null
+keys come before others, rows with equal keys in an order of their texts.  Texts of any
+length are walked whole; beyond ``ALONE`` characters in slices, so that memory beside
+the text itself does not grow with it.
 """
 
 from __future__ import annotations
@@ -23,40 +26,43 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import lots
 from sparkloom.llm.ordered import in_order
 
 #: A fingerprint has at least about so many samples (and up to twice as many).
 SAMPLES = 192
 #: Random bits repeat after so many steps; walks side by side until so few are left;
-#: characters walked at a time.
-PERIOD, FEW, AT_A_TIME = 4096, 40, 6_000_000
+#: characters walked at a time; a longer text is walked alone, in slices.
+PERIOD, FEW, AT_A_TIME, ALONE = 4096, 40, 6_000_000, 1_000_000
+#: Steps whose levels are worked out at a time, characters of a slice.
+STEPS, SLICE = 1 << 16, 1 << 18
 
 _BITS = (np.random.Generator(np.random.PCG64(20_24)).integers(0, 2, (PERIOD, 256))).astype(np.uint8)
-_FLAT = _BITS.tobytes()
+_ROWS = [row.tobytes() for row in _BITS] * 2
 
 
-@lru_cache(maxsize=1)
-def _held() -> dict:
-    return {"levels": np.zeros(0, np.uint8)}
+@lru_cache(maxsize=64)
+def levels(block: int) -> np.ndarray:
+    """For each of ``STEPS`` steps the thinnest sample that holds it: zero bits at the end of its hash."""
+    h = np.arange(block * STEPS, (block + 1) * STEPS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    low = h & (~h + np.uint64(1))
+    return np.where(h == 0, 63, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64))).astype(np.uint8)
 
 
-def levels(steps: int) -> np.ndarray:
-    """For each step, the thinnest sample that holds it: zero bits at the end of its hash."""
-    held = _held()
-    if len(held["levels"]) < steps:
-        size = max(1 << 16, 1 << (steps - 1).bit_length())
-        h = np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        low = h & (~h + np.uint64(1))
-        held["levels"] = np.where(h == 0, 63, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64))).astype(np.uint8)
-    return held["levels"]
+def _kept(level: int, step: int) -> Iterator[int]:
+    """The steps from ``step`` on that are in the sample of ``level``."""
+    for block in count(step // STEPS):
+        own = np.flatnonzero(levels(block) >= level) + block * STEPS
+        yield from own[np.searchsorted(own, step) :].tolist()
 
 
 def level_of(n: int) -> int:
@@ -64,85 +70,105 @@ def level_of(n: int) -> int:
     return max(0, (2 * n // SAMPLES).bit_length() - 1)
 
 
-def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A byte for each character (a hash of it and the next two), texts one after another."""
-    code = np.frombuffer("".join(t + "\0\0" for t in texts).encode("utf-32-le", "replace"), np.uint32)
-    h = code * np.uint32(0x9E3779B1)
-    h[:-1] ^= code[1:] * np.uint32(0x85EBCA77)
-    h[:-2] ^= code[2:] * np.uint32(0xC2B2AE3D)
+def _symbols(text: str) -> np.ndarray:
+    """A byte for each character but the last two: a hash of it and the next two."""
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    h = code[:-2] * np.uint32(0x9E3779B1)
+    h ^= code[1:-1] * np.uint32(0x85EBCA77)
+    h ^= code[2:] * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    return (h >> np.uint32(24)).astype(np.uint8), np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))[:-1]
+    return (h >> np.uint32(24)).astype(np.uint8)
+
+
+def _part(text: str, a: int, b: int) -> bytes:
+    """The symbols of characters ``a`` to ``b``; behind a text come two NULs."""
+    return _symbols(text[a : b + 2] + "\0" * max(0, b + 2 - len(text))).tobytes()
 
 
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
     """The samples of each text."""
     out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
-    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+    order = sorted((k for k in range(len(texts)) if texts[k]), key=lambda k: -len(texts[k]))
     at = 0
     while at < len(order):  # the longest first; a lot of about as many characters each time
+        if len(texts[order[at]]) > ALONE:
+            out[order[at]] = np.frombuffer(bytes(_walk_alone(texts[order[at]])), np.uint8)
+            at += 1
+            continue
         stop, size = at, 0
         while stop < len(order) and (stop == at or size + len(texts[order[stop]]) <= AT_A_TIME):
             size += len(texts[order[stop]])
             stop += 1
-        lot = [k for k in order[at:stop] if texts[k]]
+        lot = order[at:stop]
         for k, got in zip(lot, _walk([texts[k] for k in lot])):
             out[k] = got
         at = stop
     return out
 
 
+def _walk_alone(text: str, at: int = 0, step: int = 0) -> list[int]:
+    """The samples of a text from character ``at`` on, which step ``step`` stands on.
+
+    Holds the symbols of one slice only, whatever the text's length.
+    """
+    n, got = len(text), []
+    keep = _kept(level_of(n), step)
+    wanted = next(keep)
+    low = high = at
+    here, p = b"", 0
+    while at < n:
+        if at == high:
+            low, high = at, min(n, at + SLICE)
+            here, p = _part(text, low, high), 0
+        if step == wanted:
+            got.append(here[p])
+            wanted = next(keep)
+        # a step moves by one at most, so the slice is not left within so many
+        off = step & (PERIOD - 1)
+        run = min(high - at, wanted - step, PERIOD)
+        for row in _ROWS[off : off + run]:
+            p += row[here[p]]
+        step += run
+        at = low + p
+    return got
+
+
 def _walk(texts: list[str]) -> list[np.ndarray]:
-    """Samples of non-empty texts, given longest first."""
-    if not texts:
-        return []
-    sym, base = _symbols(texts)
+    """Samples of non-empty texts, given longest first, side by side."""
+    sym = np.concatenate([*(_symbols(t + "\0\0") for t in texts), np.zeros(1, np.uint8)])
     size = np.array([len(t) for t in texts])
-    level = np.array([level_of(int(n)) for n in size])
-    lev = levels(3 * int(size[0]) + 2)
-    room = 4 * SAMPLES + 64
-    held = np.zeros((len(texts), room), np.uint8)
-    count = np.zeros(len(texts), np.int64)
+    base = np.concatenate(([0], np.cumsum(size)))[:-1]
+    lvl = np.array([level_of(int(n)) for n in size])
     who = np.arange(len(texts))
-    pos, end, lvl = base.copy(), base + size, level
+    pos, end = base.copy(), base + size
+    owners: list[np.ndarray] = []
+    samples: list[np.ndarray] = []
     j = 0
     while len(who) > FEW:
-        for _ in range(64):
+        lev = levels(j // STEPS)
+        for step in range(j, j + 64):
             s = sym[pos]
             # levels fall along the order, so the texts that keep this step are at its end
-            keep = np.searchsorted(-lvl, -int(lev[j]), "left")
+            keep = np.searchsorted(-lvl, -int(lev[step & (STEPS - 1)]), "left")
             if keep < len(who):
-                w = who[keep:]
                 on = pos[keep:] < end[keep:]
-                if not on.all():
-                    w = w[on]
-                held[w, np.minimum(count[w], room - 1)] = s[keep:][on] if len(w) < len(s) - keep else s[keep:]
-                count[w] += 1
-            pos += _BITS[j & (PERIOD - 1)][s]
+                owners.append(who[keep:][on])
+                samples.append(s[keep:][on])
+            pos += _BITS[step & (PERIOD - 1)][s]
             np.minimum(pos, end, out=pos)
-            j += 1
+        j += 64
         on = pos < end
         if not on.all():
             who, pos, end, lvl = who[on], pos[on], end[on], lvl[on]
-    for w, p, e, k in zip(who.tolist(), pos.tolist(), end.tolist(), lvl.tolist()):
-        here = sym[p:e].tobytes()
-        i, n, step, got = 0, e - p, j, []
-        known = lev[: step + 3 * n + 2].tobytes() if step + 3 * n + 2 <= len(lev) else levels(step + 3 * n + 2)[: step + 3 * n + 2].tobytes()
-        last = len(known)
-        while i < n:
-            if step == last:  # a slow walk
-                known = levels(2 * last)[: 2 * last].tobytes()
-                last = len(known)
-            s = here[i]
-            if known[step] >= k:
-                got.append(s)
-            i += _FLAT[(step & 4095) << 8 | s]
-            step += 1
-        c = int(count[w])
-        got = got[: room - c]
-        held[w, c : c + len(got)] = got
-        count[w] = c + len(got)
-    return [held[k, : min(int(count[k]), room)].copy() for k in range(len(texts))]
+    for w, p in zip(who.tolist(), (pos - base[who]).tolist()):
+        rest = _walk_alone(texts[w], p, j)
+        owners.append(np.full(len(rest), w))
+        samples.append(np.array(rest, np.uint8))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    cut = np.searchsorted(owner[order], np.arange(1, len(texts)))
+    return np.split(np.concatenate(samples)[order], cut)
 
 
 def written(n: int, samples: np.ndarray) -> str:
@@ -151,21 +177,25 @@ def written(n: int, samples: np.ndarray) -> str:
 
 
 @lru_cache(maxsize=64)
-def _steps(level: int) -> np.ndarray:
-    """The levels of the steps that are in the sample of ``level``, in order."""
-    need = (4 * SAMPLES + 64) << level
-    lev = levels(need)[:need]
-    return lev[lev >= level]
+def _steps(level: int, many: int) -> np.ndarray:
+    """The levels of the first ``many`` steps that are in the sample of ``level``."""
+    own = islice(_kept(level, 0), many)
+    return np.array([levels(step // STEPS)[step % STEPS] for step in own], np.uint8)
+
+
+def _thinned(samples: np.ndarray, level: int, top: int) -> np.ndarray:
+    """Those of the samples of ``level`` that are in the sample of ``top`` too."""
+    if level == top:
+        return samples
+    many = 1 << max(9, (len(samples) - 1).bit_length())
+    return samples[_steps(level, many)[: len(samples)] >= top]
 
 
 def likeness(n: int, a: np.ndarray, m: int, b: np.ndarray) -> float:
     """The share of agreeing samples of two fingerprints of texts with n and m characters."""
     k, l = level_of(n), level_of(m)  # noqa: E741
     top = max(k, l)
-    if k < top:
-        a = a[_steps(k)[: len(a)] >= top]
-    if l < top:
-        b = b[_steps(l)[: len(b)] >= top]
+    a, b = _thinned(a, k, top), _thinned(b, l, top)
     longest = max(len(a), len(b))
     if not longest:
         return 1.0 if n == m else 0.0
@@ -179,7 +209,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in lots(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             got = [written(len(t), f) for t, f in zip(texts, fingerprints(texts))]
             yield pa.RecordBatch.from_arrays(
@@ -214,7 +244,7 @@ def near_duplicates(prints: DataFrame, key: str = "doc_id", bands: int = 32, wid
             for k, n, f in zip(*(c.to_pylist() for c in batch.columns)):
                 samples, level = read(f), level_of(n)
                 for thin in (level, level + 1):
-                    s = samples if thin == level else samples[_steps(level)[: len(samples)] >= thin]
+                    s = _thinned(samples, level, thin)
                     if len(s) >= SAMPLES // 3:
                         rows += [(f"{thin}.{b}.{s[p].tobytes().hex()}", k, n, f) for b, p in enumerate(pick)]
             yield pa.RecordBatch.from_arrays(
@@ -282,7 +312,7 @@ def with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 names,
             )
 
-        for batch in batches:
+        for batch in lots(batches, 3):
             if ended:
                 continue
             for tail, k, t in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
@@ -291,11 +321,10 @@ def with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 if tail:
                     ended = True
                     break
-                if carried > AT_A_TIME:
-                    if len(held) > 1:
-                        yield lot(held)
-                        held = held[-1:]
-                        carried = len(held[0][1])
+                if carried > AT_A_TIME and len(held) > 1:
+                    yield lot(held)
+                    held = held[-1:]
+                    carried = len(held[0][1])
         if len(held) > 1:
             yield lot(held)
 
