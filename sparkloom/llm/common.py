@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,9 +87,24 @@ def bounded_rows(df: DataFrame, key: str, rows: int, seed: str = "sample") -> Da
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < share)
 
 
+def lots(batches: Iterator, column: int, most: int = 4_000_000) -> Iterator:
+    """Batches in slices of at most about ``most`` bytes of a text column (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if batch.num_rows:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+            at = done = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(size, done + most, "right")))
+                yield batch.slice(at, stop - at)
+                at, done = stop, int(size[stop - 1])
+
+
 def crc_mod(key: str, by: int):
-    """crc32 of a column's text, modulo ``by``."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % by
+    """crc32 of a column's text, modulo ``by``; of null, that of no text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
 
 
 def vocabulary_path(name: str) -> str:

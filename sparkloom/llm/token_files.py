@@ -14,12 +14,12 @@ steps through all marks of many blocks at once with one table lookup an id.
 
 Defined results: null and empty texts hold the end id alone.  Special strings inside
 texts become their special ids, as ``tokenizers`` does by default.  Documents with
-null keys come first; repeated keys are in order of their texts.
+null keys come first; repeated keys are in an order of their texts.  Very long texts are
+encoded like others; a block ends behind one.
 """
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -27,59 +27,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import discard, materialise, scratch_path
+from sparkloom.llm._byte_level import byte_level
+from sparkloom.llm.common import discard, lots, materialise, scratch_path
 from sparkloom.llm.ordered import in_order
 
 #: Bits of the longest code, ids between marks, ids in a block (about).
 LONGEST, MARK_EVERY, BLOCK_IDS = 16, 512, 80_000
 
 
-class Encoder:
-    """Ids of texts as little-endian 32-bit integers.
-
-    A byte-level vocabulary whose ids are its merge ranks is read into ``tiktoken``;
-    it gives the ids of ``tokenizers`` for it.
-    """
-
-    def __init__(self, path: str):
-        import tiktoken
-
-        from sparkloom.llm.token_counts import BYTE_LEVEL_PATTERN
-
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        pre, vocab = model["pre_tokenizer"], model["model"]["vocab"]
-        if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or model.get("normalizer") or model["model"]["type"] != "BPE":
-            raise ValueError("only byte-level BPE files without normalizer and prefix are supported")
-        # the printable stand-ins of bytes: printable ones stand for themselves, others follow from 256 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        stand = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
-        ranks = {bytes(stand[c] for c in p): i for p, i in vocab.items() if p not in special}
-        for k, merge in enumerate(model["model"]["merges"]):
-            pair = merge.split(" ") if isinstance(merge, str) else merge
-            if vocab["".join(pair)] != 256 + k:
-                raise ValueError("the ids of this file are not its merge ranks")
-        self.size = max([*vocab.values(), *special.values()]) + 1
-        self.coder = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.special = frozenset(special)
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        ids = self.coder.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
-        return ids.astype("<u4", copy=False).tobytes()
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     """Bits of each symbol by package-merge; 0 for symbols that don't occur."""
     out = np.zeros(len(counts), np.uint8)
@@ -192,28 +147,27 @@ def write(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id", text
     """Encode whole texts and write them below ``path``."""
     spark = docs.sparkSession
     dealt, _ = in_order(docs, key, text)
+    vocab_size = byte_level(vocabulary).size
+    width = "<u2" if vocab_size <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        coder, stop = encoder(vocabulary), np.array([end], "<u4").tobytes()
+        coder, stop = byte_level(vocabulary), np.array([end], np.uint32)
         keys, sizes, ids, held, seq, before, part = [], [], [], 0, 0, 0, 0
-        small = coder.size <= 1 << 16
 
         def block() -> pa.RecordBatch:
-            body = b"".join(ids)
-            if small:
-                body = np.frombuffer(body, "<u4").astype("<u2").tobytes()
+            body = np.concatenate(ids).astype(width).tobytes()
             rows = [[part], [seq], [before], [keys], [sizes], [body]]
             return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], names)
 
-        for batch in batches:
-            for p, k, t in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))):
+        for batch in lots(batches, 3):
+            parts, doc_keys, texts = (batch.column(c).to_pylist() for c in (0, 2, 3))
+            for p, k, got in zip(parts, doc_keys, coder.encode(texts)):
                 part = p
-                got = coder.encode(t) + stop
                 keys.append(k)
-                sizes.append(len(got) // 4)
-                ids.append(got)
+                sizes.append(len(got) + 1)
+                ids += (got, stop)
                 held += sizes[-1]
                 if held >= BLOCK_IDS:
                     yield block()
@@ -228,8 +182,6 @@ def write(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id", text
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
     encoded = dealt.mapInArrow(encode, "part int, seq int, before bigint, keys array<bigint>, sizes array<int>, ids binary")
     tokens = materialise(encoded, "token-ids")
-    width = "<u2" if encoder(vocabulary).size <= 1 << 16 else "<u4"
-    vocab_size = encoder(vocabulary).size
 
     def count(batches: Iterator) -> Iterator:
         total = np.zeros(vocab_size, np.int64)
