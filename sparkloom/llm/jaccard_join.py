@@ -13,14 +13,20 @@ Method: prefix-filtered index lists with set-relation skipping.
    differing bits bound the number of differing shingles from below.
 4. Answers are derived from those of similar sets.  In a wave each set is verified
    only against the nearest one before it in a list that is of another class yet; if
-   they link, all answers of that class are its own.  When a wave finds no more links,
-   the pairs left between different classes are all verified.
+   they link, all answers of that class are its own, and later waves work on what is
+   left between the classes.  When a wave finds no more links, the pairs left between
+   different classes are all looked at: first bitmaps tell which entries still have a
+   partner of another class, then these get bitmaps with ``WIDE`` times the bits, which
+   leave hardly any pair but those that link or nearly do; all of them are verified.
 
-Verification counts the shared shingles of both whole texts.  Long lists are split
-into blocks paired over several tasks.
+Verification counts the shared shingles of both whole texts.  Lists known to be long
+from map-side counts are dealt to parts before anything is sorted, and pairs of parts
+are tasks of their own.
+
+Classes are computed, not each set's links: within a class pairs are not verified.
 
 Defined results: null and empty texts and texts of white space have no shingles and
-are linked with nothing.  A text of fewer words than ``width`` has one shingle of all
+are linked with nothing; texts of any length are taken whole.  A text of fewer words than ``width`` has one shingle of all
 of them.  Rows with equal texts are linked; a class takes its id from its smallest
 non-null key, and rows whose class has none get null.
 """
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm._words import mix, shingle_sets
-from sparkloom.llm.common import discard, materialise, scratch_path
+from sparkloom.llm.common import discard, drop_path, lots, materialise, scratch_path
 from sparkloom.llm.components import components
 
 #: Shingles counted at a time in a task, the count from which they are reported, the
@@ -43,7 +49,9 @@ from sparkloom.llm.components import components
 COUNTED, LOCAL_LEAST, TOTAL_LEAST, MOST_FREQUENT = 1_500_000, 6, 24, 300_000
 #: Entries of a block of a list, entries of a part of a long list, lists checked for
 #: partners before bitmaps are fetched, lists compared without numpy, waves at most.
-BLOCK, PART, CHECKED, SHORT, WAVES = 64, 8_192, 4_096, 16, 3
+BLOCK, PART, CHECKED, SHORT, WAVES = 64, 1_024, 4_096, 16, 3
+#: Times the bits of the last wave's bitmaps, long lists that are broadcast at most, pairs sent on at a time.
+WIDE, MOST_LONG, SENT = 16, 500_000, 20_000
 #: Bits of the table that says which nodes are candidates (at most).
 TABLE_BITS = 1 << 27
 
@@ -71,7 +79,7 @@ def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nda
             keep = n >= LOCAL_LEAST
             return pa.RecordBatch.from_arrays([pa.array(got[keep].view(np.int64)), pa.array(n[keep])], ["h", "n"])
 
-        for batch in batches:
+        for batch in lots(batches, 0):
             for s in shingle_sets(batch.column(0).to_pylist(), width):
                 d = digest(s)
                 if len(s) and d not in held:
@@ -98,9 +106,9 @@ def digest(s: np.ndarray) -> int:
     return int(mix(np.array([np.bitwise_xor.reduce(mix(s + place)) + np.uint64(len(s))]))[0].view(np.int64))
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parity bits of a set: as many as elements, rounded up to a power of two (256 at least)."""
-    bits = max(256, 1 << max(0, len(s) - 1).bit_length())
+def bitmap(s: np.ndarray, times: int = 1) -> bytes:
+    """Parity bits of a set: ``times`` as many as elements, rounded up to a power of two (256 at least)."""
+    bits = max(256, times << max(0, len(s) - 1).bit_length())
     odd = np.bincount((mix(s ^ np.uint64(0xA5A5A5A5)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -115,7 +123,7 @@ def profile(docs: DataFrame, text: str, key: str, width: int, percent: int) -> D
 
         hot, hot_n = shipped.value
         last = max(len(hot) - 1, 0)
-        for batch in batches:
+        for batch in lots(batches, 1):
             n, d, prefix, bits = [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 n.append(len(s))
@@ -142,51 +150,87 @@ def profile(docs: DataFrame, text: str, key: str, width: int, percent: int) -> D
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n bigint, d bigint, prefix array<bigint>, bits binary")
 
 
+def long_lists(nodes: DataFrame) -> DataFrame:
+    """Index lists that are dealt to parts: token, pieces.
+
+    Tasks count the prefixes of lots of sets and report what they saw twice, so no list
+    passes through one task; a list that no task sees twice has at most an entry a lot.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: list[np.ndarray] = []
+        size = 0
+
+        def lot() -> pa.RecordBatch:
+            got, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(got[n > 1]), pa.array(n[n > 1])], ["token", "n"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield lot()
+                held, size = [], 0
+        if held:
+            yield lot()
+
+    counted = nodes.select("prefix").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") > PART).select("token", F.ceil(F.col("n") / PART).cast("int").alias("pieces"))
+
+
 def lists(nodes: DataFrame, percent: int) -> DataFrame:
     """Entries of index lists that have a partner: token, lo, hi, part, n, d.
 
     First lists of one entry, and entries that no other one of the list can link with
     for their sizes and positions, are left out; then bitmaps are fetched, and entries
     that those rule out go too.  Lists with the same entries left, in the same parts, are one, as
-    similar sets share many.  A list longer than ``PART`` is dealt to parts; each pair of parts
-    (``lo``, ``hi``) is a task of its own, and an entry goes to all pairs with its
-    part.
+    similar sets share many.  A list longer than ``PART`` is dealt to parts from the start;
+    each pair of parts (``lo``, ``hi``) is a task of its own, and an entry goes to all
+    pairs with its part.
     """
-    from pyspark.sql import Window
-
-    entries = nodes.select(F.posexplode("prefix").alias("at", "token"), "d", "n")
-    counted = entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
+    long = materialise(long_lists(nodes), "long-lists")
+    how = "broadcast" if long.count() <= MOST_LONG else "merge"
+    entries = nodes.select(F.posexplode("prefix").alias("at", "token"), "d", "n").join(long.hint(how), "token", "left")
+    pieces = F.coalesce("pieces", F.lit(1))
+    entries = entries.select("at", "token", "d", "n", pieces.alias("pieces"), F.pmod(F.xxhash64("d"), pieces).cast("int").alias("part"))
+    entries = entries.repartition("token", "part").sortWithinPartitions("token", "part")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         token, held = None, []
         out: list[tuple] = []
+        open_ = False  # a list too long to be looked at here, or one of several parts
+        names = ["token", "d", "n", "at", "pieces", "part"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
         def batch_of() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["token", "d", "n", "at", "c"])
+            got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
             out.clear()
             return got
 
         for batch in batches:
-            for at, t, d, n, c in zip(*(x.to_pylist() for x in batch.columns)):
-                if c > CHECKED:
-                    out.append((t, d, n, at, c))
-                else:
-                    if t != token:
-                        out.extend(_with_partner(token, held, percent))
-                        token, held = t, []
-                    held.append((n, at, d))
-            if len(out) > 20_000:
+            for at, t, d, n, pieces, part in zip(*(x.to_pylist() for x in batch.columns)):
+                if t != token:
+                    out.extend((*e, 1, 0) for e in _with_partner(token, held, percent))
+                    token, held, open_ = t, [], pieces > 1
+                if open_:
+                    out.append((t, d, n, at, pieces, part))
+                    continue
+                held.append((n, at, d))
+                if len(held) > CHECKED:
+                    out.extend((t, d, n, at, 1, 0) for n, at, d in held)
+                    held, open_ = [], True
+            if len(out) > SENT:
                 yield batch_of()
-        out.extend(_with_partner(token, held, percent))
+        out.extend((*e, 1, 0) for e in _with_partner(token, held, percent))
         yield batch_of()
 
-    kept = counted.select("at", "token", "d", "n", "c").mapInArrow(run, "token bigint, d bigint, n bigint, at bigint, c bigint")
+    kept = entries.mapInArrow(run, "token bigint, d bigint, n bigint, at bigint, pieces int, part int")
     full = kept.join(nodes.select("d", "bits").hint("merge"), "d")
-    parts = F.ceil(F.col("c") / PART).cast("int")
-    full = full.withColumn("part", F.pmod(F.xxhash64("d"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     dealt = full.select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "n", "at", "d", "bits")
     dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "d")
 
@@ -243,7 +287,7 @@ def _with_partner(token: int, held: list[tuple], percent: int) -> Iterator[tuple
     if len(held) == 2:
         (n, i, _), (m, j, _) = held
         if 100 * min(n, m) >= percent * max(n, m) and min(n - i, m - j) >= needed(n, m, percent):
-            yield from ((token, d, n, at, 2) for n, at, d in held)
+            yield from ((token, d, n, at) for n, at, d in held)
         return
     held.sort()
     size = np.array([e[0] for e in held])
@@ -260,7 +304,7 @@ def _with_partner(token: int, held: list[tuple], percent: int) -> Iterator[tuple
             partner[y] = True
     for k in np.flatnonzero(partner).tolist():
         n, at, d = held[k]
-        yield token, d, n, at, len(held)
+        yield token, d, n, at
 
 
 def _candidates(entries: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -281,9 +325,10 @@ def _candidates(entries: DataFrame, percent: int, every: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for key, held in _runs(batches, names):
-            out.update(_pairs(held, key[1] != key[2], percent, every))
-            if len(out) > 20_000:
-                yield batch_of()
+            for pair in _pairs(held, key[1] != key[2], percent, every):
+                out.add(pair)
+                if len(out) >= SENT:
+                    yield batch_of()
         if out:
             yield batch_of()
 
@@ -306,6 +351,42 @@ def _pairs(entries: list[list], across: bool, percent: int, every: bool) -> Iter
             yield (a, b) if a < b else (b, a)
 
 
+def _undecided(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries (token, lo, hi, part, n, d, comp) that bitmaps leave a partner of another class."""
+    dealt = entries.withColumn("zero", F.lit(0).cast("bigint"))
+    dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "d")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = ["token", "lo", "hi", "part", "n", "zero", "d", "bits", "comp"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        for key, held in _runs(batches, names):
+            comps = [e[5] for e in held]
+            if comps.count(comps[0]) < len(comps):
+                mark = np.zeros(len(held), bool)
+                for _ in (_short if len(held) <= SHORT else _long)(held, comps, key[1] != key[2], percent, True, mark):
+                    pass
+                left = [(*key, held[k][0], held[k][1], held[k][3], held[k][5]) for k in np.flatnonzero(mark).tolist()]
+                if left:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in left], t) for k, t in enumerate(kinds)], ["token", "lo", "hi", "part", "n", "d", "comp"])
+
+    return dealt.mapInArrow(run, "token bigint, lo int, hi int, part int, n bigint, d bigint, comp bigint")
+
+
+def _wide_bits(texts: DataFrame, width: int) -> DataFrame:
+    """Bitmaps with ``WIDE`` times the bits: d, bits."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in lots(batches, 1):
+            bits = [bitmap(s, WIDE) for s in shingle_sets(batch.column(1).to_pylist(), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["d", "bits"])
+
+    return texts.select("d", "text").mapInArrow(run, "d bigint, bits binary")
+
+
 def _short(entries: list[list], comps: list[int], across: bool, percent: int, every: bool, mark: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     bits = [int.from_bytes(e[4], "little") for e in entries]
     for y in range(1, len(entries)):
@@ -403,8 +484,8 @@ def _same_width(u: int, wu: int, v: int, wv: int) -> tuple[int, int]:
     return u, v
 
 
-def _texts_of(docs: DataFrame, text: str, width: int, nodes: DataFrame) -> str:
-    """A table, bucketed by node, of one text for each of ``nodes``: d, text.
+def _texts_of(docs: DataFrame, text: str, width: int, nodes: DataFrame) -> tuple[str, str]:
+    """A table (its name and folder), bucketed by node, of one text for each of ``nodes``: d, text.
 
     A bit table of the nodes, bounded by ``TABLE_BITS``, keeps most other texts out of
     the shuffle; the join afterwards is exact.
@@ -424,7 +505,7 @@ def _texts_of(docs: DataFrame, text: str, width: int, nodes: DataFrame) -> str:
 
         seen: set[int] = set()
         held = shipped.value
-        for batch in batches:
+        for batch in lots(batches, 0):
             texts = batch.column(0).to_pylist()
             d, keep = [], []
             for t, s in zip(texts, shingle_sets(texts, width)):
@@ -442,8 +523,26 @@ def _texts_of(docs: DataFrame, text: str, width: int, nodes: DataFrame) -> str:
     one = got.groupBy("d").agg(F.min("text").alias("text")).join(wanted.hint("merge"), "d", "left_semi")
     name = f"texts_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    one.write.bucketBy(buckets, "d").sortBy("d").option("path", scratch_path(spark, "texts")).saveAsTable(name)
-    return name
+    where = scratch_path(spark, "texts")
+    one.write.bucketBy(buckets, "d").sortBy("d").option("path", where).saveAsTable(name)
+    return name, where
+
+
+def _joined(label: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Classes (node, comp) once the links ``new`` are added: only the graph between the classes is labelled anew."""
+    if label is None:
+        return components(new)
+    known = {c: label.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")).hint("merge") for c in "ab"}
+    drawn = new.join(known["a"], "a", "left").join(known["b"], "b", "left")
+    drawn = materialise(drawn.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "drawn")
+    of = components(drawn.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    ends = drawn.select(F.col("a").alias("node"), F.col("ca").alias("comp")).union(drawn.select("b", "cb"))
+    nodes = label.unionByName(ends).distinct()
+    to = of.select(F.col("node").alias("comp"), F.col("comp").alias("now")).hint("merge")
+    out = materialise(nodes.join(to, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp")), "labels")
+    for old in (drawn, of, label):
+        discard(old)
+    return out
 
 
 def _verified(pairs: DataFrame, table: str, width: int, percent: int) -> DataFrame:
@@ -486,9 +585,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     )
     nodes = materialise(nodes, "nodes")
     entries = materialise(lists(nodes, percent), "lists")
-    texts = _texts_of(docs, text, width, entries)
+    texts, where = _texts_of(docs, text, width, entries)
     bits = materialise(nodes.select("d", "bits").join(entries.select("d").distinct().hint("merge"), "d", "left_semi"), "bits")
-    links = tried = label = None
+    tried = label = None
     every, waves = False, 0
     while True:
         if label is None:
@@ -497,28 +596,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
             known = label.select(F.col("node").alias("d"), "comp").hint("merge")
             own = bits.join(known, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
         classed = entries.join(own.hint("merge"), "d")
+        if every:
+            left = materialise(_undecided(classed, percent), "undecided")
+            some = spark.table(texts).join(left.select("d").distinct().hint("merge"), "d", "left_semi")
+            classed = left.join(_wide_bits(some, width).hint("merge"), "d")
         pairs = _candidates(classed, percent, every)
         if tried is not None:
             pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = materialise(_verified(pairs, texts, width, percent), "links")
-        links = new if links is None else links.unionByName(new)
         waves += 1
         found = not new.isEmpty()
-        if found:
-            label = components(links)
+        if found or label is None:
+            label = _joined(label, new)
         if every:
             break
         every = not found or waves == WAVES
-    if label is None:
-        label = components(links)
     spark.sql(f"DROP TABLE IF EXISTS {texts}")
+    drop_path(spark, where)
     ids = nodes.select("d", "rep").join(label.select(F.col("node").alias("d"), "comp").hint("merge"), "d", "left")
     ids = materialise(ids.select("d", "rep", F.coalesce("comp", "d").alias("comp")), "ids")
     least = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = materialise(ids.join(least, "comp").select("d", "component_id"), "classes")
-    for old in (entries, nodes, bits):
+    for old in (entries, nodes, bits, ids, label):
         discard(old)
     none = rows.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
     some = rows.where("n > 0").select(key, "n", "d").join(of, "d").select(key, F.col("n").alias("n_shingles"), "component_id")
