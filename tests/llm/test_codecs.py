@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers
 
-from sparkloom.llm import sentencepiece_codec, token_counts, token_files
+from sparkloom.llm import _byte_level, _table, sentencepiece_codec, token_counts, token_files
 from sparkloom.llm._pieces import SPACE
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -88,18 +89,56 @@ def test_counts(spark, library, tokenizer, path):
         assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (n, len(t.encode()), n > 400), repr(t)
 
 
-def test_counts_when_the_cache_is_emptied(spark, library, monkeypatch):
-    """Words cached before a batch and met again in the one that empties the cache."""
+@pytest.mark.parametrize("path", [PIECES, BYTES])
+def test_counts_when_the_table_is_emptied(library, tokenizer, path, monkeypatch):
+    """Small tables, met again and again when full; texts in small slices."""
     monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 40)
-    monkeypatch.setattr(token_counts, "TABLE_ENTRIES", 4)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
-    try:
-        given = [f"same words of all texts {k % 7}x{k % 7} and new{k} rare{k * k} odd{k % 30}" for k in range(300)]
-        docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").coalesce(1)
-        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, PIECES).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == {k: len(library.encode(t)) for k, t in enumerate(given)}
+    monkeypatch.setattr(token_counts, "SLICE", 25)
+    r = token_counts.reader(path)
+    one = _table.Table(4)
+    one.add(token_counts._keys_of([b"same", b"x", b" x", b""]), np.array([*r.count([b"same", b"x", b" x"]), 1 if path == PIECES else 0]))
+    counts = token_counts.Counts(path, one)
+    given = [f"same  words of all texts {k % 7}x{k % 7} and new{k} rare{k * k} odd{k % 30} " for k in range(300)] + texts(300, 8)
+    for at in range(0, len(given), 7):
+        lot = given[at : at + 7]
+        want = [len(library.encode(t)) if path == PIECES else len(tokenizer.encode(t, add_special_tokens=False).ids) for t in lot]
+        assert counts.of(lot).tolist() == want
+    assert counts.two.held <= 40
+
+
+def test_tables():
+    rng = random.Random(4)
+    words = list({bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 24))) for _ in range(5000)})
+    buf, first = _table.padded(words)
+    k = _table.keys(buf, first[:-1], first[1:])
+    t = _table.Table(3000)
+    for a in range(0, 3000, 500):
+        t.add(k[a : a + 500], np.arange(a, a + 500))
+    assert t.find(k).tolist() == [i if i < 3000 else -1 for i in range(len(words))]
+    with pytest.raises(ValueError):
+        t.add(k[3000:3001], np.array([1]))
+    t.clear()
+    assert (t.find(k) == -1).all()
+
+
+def test_byte_level_ids(tokenizer, monkeypatch):
+    """Cut anywhere, with a table that is emptied often, the ids are the library's."""
+    monkeypatch.setattr(_byte_level, "ENTRIES", 300)
+    monkeypatch.setattr(_byte_level, "LOT", 200)
+    coder, rng = _byte_level.ByteLevel(BYTES), random.Random(6)
+    some = ["a", "b.", ",", ".", "*", "?", "\n", "\n\n", "\t", " ", " ", "  ", "\x1c", "\x85", "\u00a0", "\u3000", "é", "×", "·", "ж", "中", "1", "'s", "'", "<|endoftext|>", "…", "\0"]
+    given = ["".join(rng.choice(some) for _ in range(rng.randint(0, 9))) for _ in range(6000)] + EDGES + texts(500) + [None]
+    for at in range(0, len(given), 500):
+        lot = given[at : at + 500]
+        assert [g.tolist() for g in coder.encode(lot)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in lot]
+
+
+@pytest.mark.parametrize("text", [" " * 1_500_000, "a" + " " * 1_500_000 + "b", "x" * 1_000_000, "ab c.\n" * 300_000, "wé" * 100_000 + " <|endoftext|> z" * 3])
+def test_long_texts(library, tokenizer, text):
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert _byte_level.byte_level(BYTES).encode([text, "b", text])[2].tolist() == ids
+    assert token_counts.Counts(BYTES, _table.Table(1)).of([text]).tolist() == [len(ids)]
+    assert token_counts.Counts(PIECES, _table.Table(1)).of([text, None]).tolist() == [len(library.encode(text)), 0]
 
 
 def test_code_lengths_are_best():
@@ -151,7 +190,7 @@ def test_files(spark, tmp_path, tokenizer):
     docs = spark.createDataFrame(given, "doc_id long, text string").repartition(5)
     token_files.write(docs, BYTES, f"file://{tmp_path}/f")
     got = sorted(token_files.read(spark, f"file://{tmp_path}/f").collect(), key=lambda r: r.start)
-    order = sorted(given, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = docs.withColumn("h", F.xxhash64("text")).orderBy(F.asc_nulls_first("doc_id"), "h").select("doc_id", "text").collect()
     start = 0
     for (k, t), r in zip(order, got, strict=True):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]

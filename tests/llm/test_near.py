@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import decontamination, fingerprints, jaccard_join
 from sparkloom.llm.components import components
@@ -77,6 +80,34 @@ def test_classes_with_long_lists(spark, monkeypatch):
     assert got == plain_classes(rows, 4, 85)
 
 
+def test_near_misses_make_few_pairs(spark, monkeypatch):
+    """A family whose sets all nearly link and do not: what is verified is in proportion to the links, not to the pairs."""
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(1000)]
+    rows = []
+    for k in range(80):  # changing 22 words in a row of a thousand changes 25 shingles of four; two such texts share 0.90
+        own = list(words)
+        for at in rng.sample(range(0, 1000, 5), 22):
+            own[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(own)))
+    sets = plain_classes([(k, t, "") for k, t in rows], 4, 85)
+    assert all(v[2] == k for k, v in sets.items())
+    seen = []
+    real = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: tuple(r) for r in jaccard_join.classes(docs, width=4, percent=85).collect()}
+    assert got == sets and sum(seen) < 4 * 80, seen
+
+
+def test_long_texts_and_null_keys(spark):
+    long = " ".join(f"w{k % 9973}" for k in range(150_000))
+    rows = [(1, long), (2, long + " more"), (None, long), (None, "a b c d e"), (None, "A B C D E"), (7, "a b c d e"), (7, "a b c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id) for r in jaccard_join.classes(docs, width=4, percent=85).collect())
+    assert got == [(0, 1), (0, 7), (0, 7), (1, 1), (2, 1), (7, 7), (7, 7)]
+
+
 def test_lists_dealt_differently_stay_apart(spark, monkeypatch):
     """A pair left in a list of two parts and in one of three keeps the parts of each."""
     monkeypatch.setattr(jaccard_join, "PART", 4)
@@ -128,12 +159,11 @@ def test_bitmaps_bound_the_difference():
 
 
 def slow_walk(text: str) -> list[int]:
-    sym, _ = fingerprints._symbols([text])
-    lev, k = fingerprints.levels(3 * len(text) + 2), fingerprints.level_of(len(text))
+    sym, k = fingerprints._symbols(text + "\0\0"), fingerprints.level_of(len(text))
     i = j = 0
     out = []
     while i < len(text):
-        if lev[j] >= k:
+        if fingerprints.levels(j // fingerprints.STEPS)[j % fingerprints.STEPS] >= k:
             out.append(int(sym[i]))
         i += int(fingerprints._BITS[j % fingerprints.PERIOD][sym[i]])
         j += 1
@@ -154,6 +184,30 @@ def test_walks_alone_as_in_company():
         assert fingerprints.fingerprints([t])[0].tolist() == f.tolist() == slow_walk(t), t
 
 
+def test_walks_in_slices(monkeypatch):
+    """Texts walked alone in small slices, side by side, and in small lots have the same samples."""
+    rng = random.Random(14)
+    texts = [sentence(rng, rng.choice([1, 30, 300])) for _ in range(90)]
+    given = [f.tolist() for f in fingerprints.fingerprints(texts)]
+    for name, value in (("SLICE", 17), ("ALONE", 100), ("AT_A_TIME", 3000), ("FEW", 3)):
+        monkeypatch.setattr(fingerprints, name, value)
+        assert [f.tolist() for f in fingerprints.fingerprints(texts)] == given, name
+
+
+def test_very_long_texts_need_little_memory():
+    """20 million characters: what is held beside the text stays below 100 MB."""
+    code = (
+        "import resource\nfrom sparkloom.llm import fingerprints as f\n"
+        "t = ''.join(chr(97 + k * k % 23) + 'lorem ipsum dolor ' for k in range(1_100_000))\n"
+        "a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "g, h = f.fingerprints([t, t[:-50_000] + 'x' * 40_000])\n"
+        "like = f.likeness(len(t), g, len(t) - 10_000, h)\n"
+        "print(len(t), len(g), like, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 20_000_000 and int(out[1]) >= fingerprints.SAMPLES // 2 and float(out[2]) > 0.95 and int(out[3]) < 100
+
+
 def test_likeness():
     rng = random.Random(7)
     for n in (60, 400, 3000):
@@ -182,6 +236,23 @@ def test_with_edited(spark):
     assert fingerprints.with_edited(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_with_edited_of_odd_keys(spark):
+    """Null keys come first, repeated keys by a hash of their texts, repeated rows follow each other; ranges may be cut anywhere."""
+    rng = random.Random(12)
+    rows = [(rng.choice([None, None, 5, 5, 5, k]), rng.choice([None, "same text", sentence(rng, 9)])) for k in range(200)]
+    rows += [(77, "long " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = fingerprints.with_edited(docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(k) for k, _ in rows)
+    order = [tuple(r) for r in docs.withColumn("h", F.xxhash64("text")).orderBy(F.asc_nulls_first("doc_id"), "h").select("doc_id", "text").collect()]
+    want = []
+    for (k, t), (_, u) in zip(order, order[1:] + order[:1]):
+        t, u = t or "", u or ""
+        n = len(t) // 4
+        want.append((str(k), hashlib.sha256((t[: len(t) - n] + u[:n]).encode()).hexdigest()))
+    assert sorted(want) == sorted((str(r.doc_id), r.edited_sha256) for r in got)
+
+
 def test_near_duplicates(spark):
     rng = random.Random(12)
     base = [sentence(rng, 200) for _ in range(30)]
@@ -233,6 +304,100 @@ def test_each_occurrence_counts():
     assert all(not g or g[0][1] < 1.0 for g in index.found([b for b in broken]))
 
 
+def test_names_of_all_scripts_and_at_sentence_starts():
+    pairs = [
+        ("Tom has five red apples in the old basket. Tom gives Ann two apples", "Mike has nine red apples in the old basket. Mike gives Eva three apples"),
+        ("Вчера утром Иван купил 3 килограмма яблок на старом рынке", "Вчера утром Пётр купил 7 килограмма яблок на старом рынке"),
+        ("το πρωί ο Γιώργος έφυγε για το μεγάλο λιμάνι του νησιού", "το πρωί ο Νίκος έφυγε για το μεγάλο λιμάνι του νησιού"),
+        ("le train de Émile roule trois heures vers la grande ville", "le train de Élodie roule sept heures vers la grande ville"),
+        ("der Zug braucht fünf Stunden bis zur nächsten großen alten Stadt", "der Zug braucht zwölf Minuten bis zur nächsten großen alten Stadt"),
+        ("el camión pesa siete kilogramos con toda la carga del puerto", "el camión pesa nueve gramos con toda la carga del puerto"),
+    ]
+    index = decontamination.Index([(k, a) for k, (a, _) in enumerate(pairs)])
+    for k, (a, b) in enumerate(pairs):
+        got = index.found([a, f"before. {b} after", f"then {b[0].lower()}{b[1:]}", a.upper() if a.isascii() else a])
+        assert got[0] == [(k, 1.0, False)] and got[1] == [(k, 1.0, True)] and (not k or got[2] == [(k, 1.0, True)]), (k, got)
+    mixed = "Mike has nine red apples in the old basket. Tom gives Eva three apples"
+    assert index.found([mixed, f"so then Tom {pairs[0][0][4:]}"])[1] == [(0, 1.0, False)]
+    assert all(c < 1.0 for _, c, _ in index.found([mixed])[0])
+
+
+def plain_found(item: str, text: str) -> bool:
+    """By definition: some alignment of the item's windows has consistent slots over enough of its words."""
+    i, t = decontamination.Template([item]), decontamination.Template([text])
+    n, m, w = len(i.exact), len(t.exact), decontamination.WIDTH
+    for d in range(-n, m):
+        stands: dict = {}
+        for q in range(n):
+            if 0 <= q + d < m and i.kinds[1][q] and t.kinds[1][q + d] == i.kinds[1][q]:
+                c = stands.setdefault((int(i.kinds[1][q]), i.value(q)), {})
+                c[t.value(q + d)] = c.get(t.value(q + d), 0) + 1
+        best = {k: max(sorted(c), key=c.get) for k, c in stands.items()}
+        fits = [
+            0 <= q + d < m and (i.exact[q] == t.exact[q + d] or bool(i.kinds[1][q] and t.kinds[1][q + d] == i.kinds[1][q] and best[int(i.kinds[1][q]), i.value(q)] == t.value(q + d)))
+            for q in range(n)
+        ]
+        covered = {q + k for q in range(n - w + 1) if all(fits[q : q + w]) for k in range(w)}
+        if len(covered) >= decontamination.LEAST * n:
+            return True
+    return False
+
+
+def test_found_as_by_definition():
+    """Copies in place, with other values, and with words changed, against all alignments tried one by one."""
+    rng = random.Random(21)
+    names, kinds = "Anna Berta Carlo Dora Emil Flora".split(), ["km", "hours", "kg", "days"]
+
+    def item() -> str:
+        out = []
+        for _ in range(rng.randint(8, 30)):
+            x = rng.random()
+            out.append(rng.choice(names) if x < 0.12 else f"{rng.randint(2, 99)} {rng.choice(kinds)}" if x < 0.24 else rng.choice(WORDS) + rng.choice(WORDS))
+        return " ".join(out)
+
+    items = [item() for _ in range(60)]
+    index = decontamination.Index(list(enumerate(items)))
+    same = other = 0
+    for k, x in enumerate(items):
+        swap = dict(zip(names, rng.sample(names, len(names)))) | dict(zip(kinds, rng.sample(kinds, 4))) | {str(n): str(n + 100) for n in range(100)}
+        words = x.split()
+        changed = [swap.get(v, v) for v in words]
+        damaged = [v if rng.random() < 0.93 else "zzz" for v in changed]
+        for own in (words, changed, damaged):
+            text = f"{item()} {' '.join(own)} {item()}"
+            got, want = k in {f[0] for f in index.found([text])[0]}, plain_found(x, text)
+            same += got == want
+            other += got != want
+            assert got or own is damaged, (x, own)
+    assert other <= 0.05 * same, (same, other)
+
+
+def test_every_benchmark_item_is_found(sf):
+    """Each item of the table verbatim and re-parameterised; items besides it are not in clean texts."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{sf}/benchmark.parquet").to_pylist()
+    index = decontamination.Index([(r["item_id"], r["text"]) for r in rows if r["text"]])
+    slotted = [f"{r['text']} Then Karl walks 12 km with Anna and Karl rests 3 hours near the {k} mill of Anna" for k, r in enumerate(rows) if r["text"]]
+    more = decontamination.Index(list(enumerate(slotted)))
+    found = [r["item_id"] in {f[0] for f in index.found([f"Before it. {r['text']} after it"])[0]} for r in rows if r["text"]]
+    assert all(found)
+    again = [k in {f[0] for f in more.found([x.replace("Karl", "Otto").replace("Anna", "Ida").replace("12", "45").replace(" 3 ", " 8 ")])[0]} for k, x in enumerate(slotted)]
+    assert sum(again) >= 0.9 * len(again)
+
+
+def test_common_templates_make_no_candidates():
+    """Items that share a long beginning: a text with the beginning alone is compared with none of them."""
+    start = "please read the following question with care and choose the best answer "
+    rng = random.Random(3)
+    items = [start + " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(12)) for _ in range(300)]
+    index = decontamination.Index(list(enumerate(items)))
+    seen = []
+    real = index._occurrences
+    index._occurrences = lambda *a: seen.append(a[2:]) or real(*a)
+    assert index.found([start * 5, items[7]]) == [[], [(7, 1.0, False)]] and seen == [(1, 7)]
+
+
 def test_items_dense_in_slots_and_short_ones():
     train, series = "A train ran 12 km in 3 hours and 5 km in 2 hours", "What number comes next: 2, 4, 8, 16, 32, 64, 128, 256"
     items = [train, series, "12, 7 and 19", "Who wrote Hamlet?", "boil three eggs slowly", "7 8 9 10 11 12 13", "..."]
@@ -261,6 +426,21 @@ def test_matches_and_filter(spark):
     assert decontamination.matches(docs, bench.where("false")).count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 3)
+@pytest.mark.parametrize("name,value", [("BLOCK_ITEMS", 3), ("BLOCK_BYTES", 500)])
+def test_blocks_of_items(spark, monkeypatch, name, value):
+    monkeypatch.setattr(decontamination, name, value)
     test_matches_and_filter(spark)
+
+
+def test_odd_benchmarks(spark):
+    """Repeated items and rows, items with one template, a very long text, columns named like results."""
+    long = " ".join(f"w{k % 977}x" for k in range(200_000)) + " " + QUESTION
+    docs = spark.createDataFrame([(1, QUESTION, 1), (1, QUESTION, 1), (2, long, 2), (None, QUESTION, 3), (3, "w1x", 4)], "doc_id long, text string, item_id int")
+    twin = QUESTION.replace("John", "Max").replace("12", "40")
+    bench = spark.createDataFrame([(5, QUESTION, 0.5), (5, QUESTION, 0.5), (6, twin, 0.5), (None, "w1x", 0.5)], "item_id long, text string, covered double")
+    rows = decontamination.matches(docs, bench).collect()
+    assert sorted(r.doc_id for r in rows if r.item_id is None) == [2, 3]
+    got = sorted((r.doc_id or 0, r.item_id, r.changed) for r in rows if r.item_id is not None)
+    assert [g[:2] for g in got] == sorted([(d, i) for d in (0, 1, 1, 2) for i in (5, 5, 6)] )
+    assert all(c is (i == 6) for _, i, c in got)
+    assert [r.doc_id for r in decontamination.without_leaks(docs, bench.where("item_id is not null")).collect()] == [3]
