@@ -15,7 +15,10 @@ blank.  Only text and label of the training rows are used, nothing else of a row
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and
 where no language was learned.  Ties go to the language first in code point order.
-The score is the share of the winner's probability among all languages.
+The score is the winner's share of the probabilities for a byte (their geometric mean
+over the text), so it tells how much better the winner fits, not how long the text is.
+Repeated rows of one key are rows of their own; texts of any length are coded whole, in
+slices.  Columns other than those named are not looked at.
 """
 
 from __future__ import annotations
@@ -24,14 +27,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest context in bytes; labelled rows used for each language; contexts with
-#: follower kept for each language (the most frequent ones).
-ORDER, ROWS_PER_LANGUAGE, GRAMS_PER_LANGUAGE = 3, 1_500, 200_000
-#: Positions scored at a time in a worker.
-CHUNK = 1 << 19
+from sparkloom.llm.common import lots
+
+#: Longest context in bytes; labelled rows used for each language (about).
+ORDER, ROWS_PER_LANGUAGE = 3, 1_500
+#: Positions scored at a time in a worker; cells up to which a table is laid out in full.
+CHUNK, CELLS = 1 << 19, 1 << 23
 
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,7 +68,7 @@ def count(labelled: DataFrame, label: str, text: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in lots(batches, 1):
             by: dict[str, list[bytes]] = {}
             for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(folded(t))
@@ -83,6 +87,24 @@ def count(labelled: DataFrame, label: str, text: str) -> DataFrame:
     return counted.groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
+class _Rows:
+    """Numbers 0, 1, ... of sorted keys: a full table where that is small, else looked up by halving."""
+
+    def __init__(self, keys: np.ndarray, size: int):
+        self.full = self.keys = None
+        if size <= CELLS:
+            self.full = np.full(size, -1, np.int32)
+            self.full[keys] = np.arange(len(keys), dtype=np.int32)
+        else:
+            self.keys = keys
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if self.full is not None:
+            return self.full[keys]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1).astype(np.int32)
+
+
 class Model:
     """Frozen code lengths of all languages."""
 
@@ -97,8 +119,8 @@ class Model:
         syms = self.symbol[syms]
         counts = counts.astype(np.float64)
         # per order: contexts' ids by (parent id, symbol), followers' cost rows, escapes
-        self.child: list[np.ndarray] = []
-        self.rows: list[np.ndarray] = []
+        self.child: list[_Rows] = []
+        self.rows: list[_Rows] = []
         self.cost: list[np.ndarray] = []
         self.escape: list[np.ndarray] = []
         uniform = np.full((1, len(labels)), np.log2(257.0))
@@ -123,8 +145,7 @@ class Model:
             first[inverse] = np.arange(len(inverse))
             lower = uniform if below is None else below[first]
             cost = np.where(n > 0, seen, escape[owner] + lower)
-            self.rows.append(np.full((size, self.base), -1, np.int32))
-            self.rows[-1].reshape(-1)[keys] = np.arange(len(keys), dtype=np.int32)
+            self.rows.append(_Rows(keys, size * self.base))
             self.cost.append(cost.astype(np.float32))
             self.escape.append(escape.astype(np.float32))
             below = cost[inverse]
@@ -142,11 +163,8 @@ class Model:
         for depth in range(1, order + 1):
             key = parent * self.base + context[:, order - depth]
             if depth > len(self.child):
-                keys = np.unique(key)
-                made = np.full((int(parent.max()) + 1 if len(parent) else 1, self.base), -1, np.int32)
-                made.reshape(-1)[keys] = np.arange(len(keys), dtype=np.int32)
-                self.child.append(made)
-            parent = self.child[depth - 1].reshape(-1)[key].astype(np.int64)
+                self.child.append(_Rows(np.unique(key), (int(parent.max()) + 1 if len(parent) else 1) * self.base))
+            parent = self.child[depth - 1].of(key).astype(np.int64)
         return parent
 
     def bits(self, joined: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -180,7 +198,7 @@ class Model:
         for d in range(1, ORDER + 1):
             above = ids[-1]
             known = above >= 0
-            nxt = self.child[d - 1].reshape(-1)[np.where(known, above, 0) * np.int64(self.base) + last[d]]
+            nxt = self.child[d - 1].of(np.where(known, above, 0) * np.int64(self.base) + last[d])
             ids.append(np.where(known, nxt, -1).astype(np.int32))
         out = np.empty((len(here), len(self.labels)), np.float32)
         todo = np.arange(len(here))
@@ -188,7 +206,7 @@ class Model:
         for order in range(ORDER, -1, -1):
             ctx = ids[order][todo] if order < ORDER or len(todo) != len(here) else ids[order]
             safe = np.maximum(ctx, 0)
-            row = self.rows[order].reshape(-1)[safe * np.int64(self.base) + here[todo]]
+            row = self.rows[order].of(safe * np.int64(self.base) + here[todo])
             row = np.where(ctx >= 0, row, -1)
             hit = row >= 0
             got = self.cost[order][row[hit]]
@@ -207,8 +225,8 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", key: str
     """Freeze the statistics of labelled texts (rows with null label or text are left out).
 
     At most about ``ROWS_PER_LANGUAGE`` rows of each language are used, chosen by a
-    hash of ``key``; the counts that reach the driver are bounded by
-    ``GRAMS_PER_LANGUAGE`` for each language.
+    hash of ``key``; all of their contexts are kept, and what reaches the driver is at
+    most the different stretches of ``ORDER + 1`` bytes in those rows.
     """
     rows = labelled.select(label, text, key).where(F.col(label).isNotNull() & F.col(text).isNotNull())
     sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -217,9 +235,7 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", key: str
     unit = 1 << 30
     shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(unit, int(ROWS_PER_LANGUAGE / n * unit)))])
     picked = rows.where(F.pmod(F.xxhash64(F.lit("language"), F.col(key)), F.lit(unit)) < shares[F.col(label)])
-    ranked = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "gram"))
-    kept = count(picked, label, text).withColumn("rank", ranked).where(F.col("rank") <= GRAMS_PER_LANGUAGE)
-    got = kept.select("label", "gram", "n").toPandas()
+    got = count(picked, label, text).toPandas()
     labels = sorted(set(got["label"]))
     grams, inverse = np.unique(got["gram"].to_numpy(np.uint64), return_inverse=True)
     counts = np.zeros((len(grams), len(labels)))
@@ -233,9 +249,11 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     which = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
     if not which or not model.labels:
         return langs, scores
-    bits = model.bits(*_grams([folded(texts[k]) for k in which]))
+    bodies = [folded(texts[k]) for k in which]
+    bits = model.bits(*_grams(bodies))
     best = bits.argmin(axis=1)
-    share = 1.0 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000.0)).sum(axis=1)
+    size = np.array([max(1, len(b)) for b in bodies])
+    share = 1.0 / np.exp2((bits.min(axis=1)[:, None] - bits) / size[:, None]).sum(axis=1)
     for k, b, s in zip(which, best, share):
         langs[k], scores[k] = model.labels[b], float(s)
     return langs, scores
@@ -243,12 +261,13 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
 
 def identify(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "text") -> DataFrame:
     """The columns ``keep`` of each document with ``lang_pred`` and ``score``."""
+    texts_at = len(keep)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in lots(batches, texts_at):
             langs, scores = predict(shipped.value, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
