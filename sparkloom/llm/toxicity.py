@@ -3,17 +3,21 @@
 Method.  Texts are lower-cased, look-alike letters and digit substitutions are folded,
 and the lexicon is matched by one Aho-Corasick automaton.  A term is a whole word or a
 word's beginning.  Its weight is the log ratio of the shares of toxic and of clean
-documents that hold it; an exception phrase (a neighbouring word that makes the term
-harmless) cancels the match.  A text's matches are summed, once as distinct terms and
+documents that hold it; an exception phrase (one or two words before or behind the term,
+or one on each side, that make it harmless) cancels the match.  A text's matches are summed, once as distinct terms and
 once in proportion to its length, and a logistic curve fitted on the same labelled
 rows maps both to a score.
 
-Learning uses a bounded sample of labelled rows and only their texts and labels.
+Learning uses a bounded sample of labelled rows and only their texts and labels.  All
+terms of these rows are tried, all that are significant and pure are kept.
 Documents that share their smallest three-word hash count once, so a group of copies
 does not turn its own rare words into terms.
 
 Defined results: null and empty texts score as a text without any term does.  Without
 a learned term every score is the share of toxic rows, or 0 with no labelled row.
+Repeated labels count once, contradictory ones of one key not at all; each row of a
+repeated key is a row, and a null key has no label.  Texts of any length are read whole.
+Columns of the documents other than key and text are not looked at.
 """
 
 from __future__ import annotations
@@ -28,14 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import bounded_rows
+from sparkloom.llm.common import agreed, bounded_rows, discard, lots, materialise
 
-#: Labelled rows used of each class, terms tried (the most frequent), and terms kept.
-TOXIC_ROWS, CLEAN_ROWS, TRIED_TERMS, KEPT_TERMS = 6_000, 10_000, 200_000, 20_000
+#: Labelled rows used of each class (about).
+TOXIC_ROWS, CLEAN_ROWS = 6_000, 10_000
 #: A term needs so many different toxic texts and such a ratio of shares (and a fifth
 #: of its texts may be clean).
 LEAST_TEXTS, LEAST_RATIO = 3, 8.0
 PREFIX_CHARS = (3, 4, 5, 6, 7)
+#: Terms that a task counts before it sends them on.
+AT_A_TIME = 500_000
 
 # Letters that look like Latin ones, and characters used for letters.
 LOOK_ALIKES = {
@@ -69,8 +75,7 @@ def _signature(text: str) -> int:
 
 def _terms(text: str) -> set[str]:
     """Whole words, and beginnings marked by a star."""
-    words = {w for w in _WORD.findall(fold(text)[0]) if 3 <= len(w) <= 24}
-    words = {w.translate(_TABLE) for w in words}
+    words = {w.translate(_TABLE) for w in _WORD.findall(fold(text)[0])}
     return words | {w[:k] + "*" for w in words for k in PREFIX_CHARS if len(w) > k}
 
 
@@ -129,15 +134,20 @@ class Lexicon:
 
 
 def _around(folded: str, start: int, end: int) -> list[tuple[str, str]]:
-    """The neighbouring words of a match: ("<", word before) and (">", word after)."""
-    out = []
-    before = _WORD.findall(folded[max(0, start - 40) : start])
-    after = _WORD.search(folded, end)
-    if before:
-        out.append(("<", before[-1]))
-    if after and after.start() - end <= 3:
-        out.append((">", after.group()))
-    return out
+    """The phrases around a match: one or two words before ("<") or behind (">"), or one on each side ("<>")."""
+    before = _WORD.findall(folded[max(0, start - 60) : start])[-2:]
+    after, at = [], end
+    for _ in range(2):
+        m = _WORD.search(folded, at, at + 40)
+        if m is None or m.start() - at > 3:
+            break
+        after.append(m.group())
+        at = m.end()
+    out = [("<", before[-1])] if before else []
+    out += [("<", " ".join(before))] if len(before) == 2 else []
+    out += [(">", after[0])] if after else []
+    out += [(">", " ".join(after))] if len(after) == 2 else []
+    return out + ([("<>", f"{before[-1]} {after[0]}")] if before and after else [])
 
 
 def _fit(points: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> list[float]:
@@ -159,11 +169,12 @@ def _fit(points: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> list[fl
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """Learn the lexicon from labelled rows (null labels and texts are left out).
 
-    At most about ``TOXIC_ROWS`` and ``CLEAN_ROWS`` rows are read, so what reaches the
-    driver (terms with counts, and two sums a row) is bounded.
+    At most about ``TOXIC_ROWS`` and ``CLEAN_ROWS`` rows are read.  Terms are counted,
+    weighed and chosen on executors; what reaches the driver is the chosen terms, their
+    exceptions and two sums a row.
     """
     spark = docs.sparkSession
-    known = labels.select(key, F.col(label).cast("int").alias("__y")).where(F.col("__y").isin(0, 1)).dropDuplicates()
+    known = agreed(labels, key, label)
     toxic = bounded_rows(known.where("__y = 1"), key, TOXIC_ROWS, "toxic")
     clean = bounded_rows(known.where("__y = 0"), key, CLEAN_ROWS, "clean")
     shares = [known.where(F.col("__y") == y).count() for y in (0, 1)]
@@ -175,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def signed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in lots(batches, 0):
             texts = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_signature(t) for t in texts], pa.int64()), batch.column(1), batch.column(0)],
@@ -183,47 +194,50 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             )
 
     one = sample.select(F.col(text).alias("t"), "__y").mapInArrow(signed, "sig bigint, y int, text string")
-    one = one.groupBy("sig", "y").agg(F.min("text").alias("text")).persist()
-    try:
-        n = {r.y: r.n for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        tried = _count(one.where("y = 1"), None).where(F.col("n") >= LEAST_TEXTS)
-        tried = tried.orderBy(F.desc("n"), "term").limit(TRIED_TERMS).toPandas()
-        held = dict(zip(tried["term"], tried["n"].tolist()))
-        shipped = spark.sparkContext.broadcast(frozenset(held))
-        clean_counts = _count(one.where("y = 0"), shipped).toPandas()
-        clear = dict(zip(clean_counts["term"], clean_counts["n"].tolist()))
-        weights = {}
-        share = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
-        for t, a in held.items():
-            b = clear.get(t, 0)
-            ratio = ((a + 0.5) / (n.get(1, 0) + 1)) / ((b + 0.5) / (n.get(0, 0) + 1))
-            if ratio >= LEAST_RATIO and 4 * b <= a and _surprise(a, b, share) > math.log(len(held)) + 1:
-                weights[t] = math.log(ratio) * (1 - math.exp(-a / 6))
-        weights = _without_nested(weights, held)
-        top = sorted(weights, key=lambda t: (-weights[t], t))[:KEPT_TERMS]
-        lexicon = Lexicon({t: weights[t] for t in top}, {}, [0.0, 0.0, 0.0])
-        lexicon.exceptions = _exceptions(one, spark.sparkContext.broadcast(lexicon))
-        final = spark.sparkContext.broadcast(lexicon)
-
-        def points(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            for batch in batches:
-                got = [final.value.sums(t) for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), batch.column(1)], ["a", "b", "y"]
-                )
-
-        rows = one.select("text", "y").mapInArrow(points, "a double, b double, y int").toPandas()
-    finally:
-        one.unpersist()
+    one = materialise(one.groupBy("sig", "y").agg(F.min("text").alias("text")), "toxic-sample")
+    n = {r.y: r.n for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights, held = weigh(one, n.get(1, 0), n.get(0, 0))
+    lexicon = Lexicon(_without_nested(weights, held), {}, [0.0, 0.0, 0.0])
+    lexicon.exceptions = _exceptions(one, spark.sparkContext.broadcast(lexicon))
+    final = spark.sparkContext.broadcast(lexicon)
+
+    def points(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            got = [final.value.sums(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), batch.column(1)], ["a", "b", "y"]
+            )
+
+    rows = one.select("text", "y").mapInArrow(points, "a double, b double, y int").toPandas()
+    discard(one)
+    rows = rows.sort_values(["a", "b", "y"], kind="stable")  # the same sums whatever the order of tasks
     y = rows["y"].to_numpy(float)
     weight = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
     lexicon.curve = _fit(rows[["a", "b"]].to_numpy(float), y, weight * len(y) / max(1.0, weight.sum()))
     return lexicon
 
 
-def _surprise(a: int, b: int, share: float) -> float:
+def weigh(texts: DataFrame, toxic: int, clean: int) -> tuple[dict[str, float], dict[str, int]]:
+    """Weights and toxic texts of the terms that many toxic texts and hardly any clean ones hold.
+
+    ``texts``: rows text, y (1 toxic, 0 clean), of which there are ``toxic`` and ``clean``.
+    """
+    many = materialise(_count(texts.where("y = 1")).where(F.col("n") >= LEAST_TEXTS), "toxic-terms")
+    tried = many.count()
+    both = many.select("term", F.col("n").cast("double").alias("a")).join(_count(texts.where("y = 0")).select("term", F.col("n").alias("c")), "term", "left")
+    both = both.select("term", "a", F.coalesce("c", F.lit(0)).cast("double").alias("b"))
+    ratio = ((F.col("a") + 0.5) / (toxic + 1.0)) / ((F.col("b") + 0.5) / (clean + 1.0))
+    kept = both.withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (4 * F.col("b") <= F.col("a"))).collect()
+    discard(many)
+    share = toxic / max(1, toxic + clean)
+    least = math.log(max(1, tried)) + 1
+    kept = [r for r in kept if _surprise(r.a, r.b, share) > least]
+    return {r.term: math.log(r.ratio) * (1 - math.exp(-r.a / 6)) for r in kept}, {r.term: int(r.a) for r in kept}
+
+
+def _surprise(a: float, b: float, share: float) -> float:
     """How unlikely (a bound on minus the logarithm) so many of a term's texts are toxic by chance.
 
     Many rare words occur in a few toxic texts only; a term has to beat the number of
@@ -236,19 +250,25 @@ def _surprise(a: int, b: int, share: float) -> float:
     return (a + b) * out if p > share else 0.0
 
 
-def _count(texts: DataFrame, among) -> DataFrame:
-    """In how many texts each term occurs; with ``among`` (broadcast), only those terms."""
+def _count(texts: DataFrame) -> DataFrame:
+    """In how many texts each term occurs: term, n."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         seen: Counter = Counter()
+
+        def batch_of() -> pa.RecordBatch:
+            got = [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(got, ["term", "n"])
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                seen.update(_terms(t) if among is None else _terms(t) & among.value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"]
-        )
+                seen.update(_terms(t))
+                if len(seen) > AT_A_TIME:
+                    yield batch_of()
+        yield batch_of()
 
     return texts.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -295,19 +315,20 @@ def _exceptions(texts: DataFrame, lexicon) -> dict[str, set[tuple[str, str]]]:
     dirty = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0))
     kept = got.groupBy("term", "side", "word").agg(clean.alias("c"), dirty.alias("d")).where("c >= 2 and c > 4 * d")
     out: dict[str, set[tuple[str, str]]] = {}
-    for r in kept.orderBy(F.desc("c"), "term", "side", "word").limit(KEPT_TERMS).collect():
+    for r in kept.collect():
         out.setdefault(r.term, set()).add((r.side, r.word))
     return out
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: list[str | Column], text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The columns ``keep`` of each document with ``score`` and ``predicted``."""
+    texts_at = len(keep)
     shipped = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in lots(batches, texts_at):
             got = [shipped.value.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(got, pa.float64()), pa.array([int(s >= threshold) for s in got], pa.int32())],
