@@ -35,7 +35,7 @@ class Table:
     """Numbers below 2**32 by key."""
 
     def __init__(self, entries: int):
-        self.bits = max(8, (2 * entries).bit_length())
+        self.bits = max(8, (2 * entries - 1).bit_length())
         self.room, self.held = entries, 0
         self.rows = np.zeros((1 << self.bits, 4), np.uint64)
 

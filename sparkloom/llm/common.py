@@ -87,6 +87,13 @@ def bounded_rows(df: DataFrame, key: str, rows: int, seed: str = "sample") -> Da
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < share)
 
 
+def agreed(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """Rows ``key`` and ``__y`` (0 or 1), one for each key with a label and no contradictory ones."""
+    known = labels.select(key, F.col(label).cast("int").alias("__y")).where(F.col("__y").isin(0, 1))
+    one = known.groupBy(key).agg(F.min("__y").alias("__y"), F.max("__y").alias("__most"))
+    return one.where("__y = __most").select(key, "__y")
+
+
 def lots(batches: Iterator, column: int, most: int = 4_000_000) -> Iterator:
     """Batches in slices of at most about ``most`` bytes of a text column (one row at least)."""
     import numpy as np

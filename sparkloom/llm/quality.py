@@ -10,8 +10,11 @@ a logistic function.
 
 Learning uses a bounded sample of labelled rows, only their texts and labels.
 
-Defined results: null and empty texts score with their own bins (all numbers 0).
-With no labelled row every score is 0; with one class only, 0 or 1 nearly.
+Defined results: null and empty texts score with their own bins (all numbers 0); texts of
+any length are read whole.  With no labelled row every score is 0; with one class only,
+0 or 1 nearly.  Repeated labels count once, contradictory ones of one key not at all;
+each row of a repeated key is a row, and a null key has no label.  Columns of the
+documents other than key and text are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import bounded_rows
+from sparkloom.llm.common import agreed, bounded_rows, lots
 
 #: Labelled rows used at most (about), bins of a feature, boosting rounds, learning
 #: rate, leaves of a tree, pairs of features, and bins of a pair's side.
@@ -184,14 +187,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     Workers make the feature rows; only those reach the driver.
     """
-    known = labels.select(key, F.col(label).cast("int").alias("__y")).where(F.col("__y").isin(0, 1)).dropDuplicates()
+    known = agreed(labels, key, label)
     picked = F.broadcast(bounded_rows(known, key, TRAIN_ROWS, "quality"))  # bounded by TRAIN_ROWS
     sample = docs.select(key, text).where(F.col(text).isNotNull()).join(picked, key)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in lots(batches, 0):
             x = features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x[:, k]) for k in range(x.shape[1])] + [batch.column(1)], [*FEATURES, "y"]
@@ -204,12 +207,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The columns ``keep`` of each document with ``score`` and ``predicted``."""
+    texts_at = len(keep)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in lots(batches, texts_at):
             got = shipped.value.score(features(batch.column(batch.num_columns - 1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))],
