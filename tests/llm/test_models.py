@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sparkloom.llm import language_id, pii, quality, toxicity
+from sparkloom.llm import common, language_id, pii, quality, toxicity
 
 LANGUAGES = {
     "aa": "the and of ing that with tion here for not".split(),
@@ -58,7 +58,7 @@ def test_code_lengths_by_definition(spark):
             assert got[i, j] == pytest.approx(slow_bits(counts, t), rel=1e-4), (t, lang)
 
 
-def test_language_of_odd_texts(spark):
+def test_language_of_odd_texts(spark, monkeypatch):
     rows = labelled()
     train = spark.createDataFrame(rows + [(500, None, "aa"), (501, "text", None)], "doc_id long, text string, lang string")
     model = language_id.train(train)
@@ -71,6 +71,20 @@ def test_language_of_odd_texts(spark):
     held = spark.createDataFrame(labelled(200, 77), "doc_id long, text string, lang string")
     right = language_id.identify(held, model, ["lang"]).where("lang = lang_pred").count()
     assert right >= 190
+    monkeypatch.setattr(language_id, "CELLS", 1)
+    sparse = language_id.train(train)
+    texts = [t for _, t, _ in labelled(30, 5)] + ["日本 é"]
+    assert language_id.predict(sparse, texts) == language_id.predict(model, texts)
+    assert len({round(s, 5) for s in language_id.predict(model, texts)[1]}) > 5
+
+
+def test_language_query_of_odd_keys(spark):
+    rows = labelled(60) + [(None, "the and", "aa"), (None, None, None), (3, "the and of", "aa"), (3, "the and of", "aa"), (70, "the " * 300_000, "aa")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, lang_pred int, score string")
+    model = language_id.train(docs.where(common.crc_mod("doc_id", 4) != 2))
+    got = language_id.identify(docs, model, ["doc_id", (common.crc_mod("doc_id", 4) == 2).alias("held_out")]).collect()
+    assert len(got) == len(rows) and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
+    assert language_id.identify(docs.where("false"), model, ["doc_id"]).count() == 0
 
 
 # -- toxicity ----------------------------------------------------------------------------
@@ -109,11 +123,59 @@ def test_toxicity(spark):
     assert none.score("moron") == pytest.approx(0, abs=1e-6)
 
 
+def test_weights_by_definition(spark):
+    """Every term of every text counted one by one."""
+    docs, labels = toxic_rows(7)
+    y = dict(labels)
+    texts = spark.createDataFrame([(t, y[k]) for k, t in docs], "text string, y int").repartition(3)
+    toxic = sum(y.values())
+    clean = len(y) - toxic
+    counts: dict = {}
+    for k, t in docs:
+        words = set(re.findall(r"[^\W\d_]+", t.lower()))
+        for term in words | {w[:n] + "*" for w in words for n in (3, 4, 5, 6, 7) if len(w) > n}:
+            counts.setdefault(term, [0, 0])[y[k]] += 1
+    tried = [t for t, c in counts.items() if c[1] >= 3]
+    want = {}
+    for t in tried:
+        b, a = counts[t]
+        ratio = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
+        p, share = a / (a + b), toxic / (toxic + clean)
+        surprise = (a + b) * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if b else 0)) if p > share else 0
+        if ratio >= 8 and 4 * b <= a and surprise > math.log(len(tried)) + 1:
+            want[t] = math.log(ratio) * (1 - math.exp(-a / 6))
+    got, held = toxicity.weigh(texts, toxic, clean)
+    assert got == pytest.approx(want) and held == {t: counts[t][1] for t in want} and want
+
+
+def test_labels_that_contradict(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (2, 1), (3, 1), (3, None), (None, 1), (4, 7)], "doc_id long, toxic int")
+    got = common.agreed(labels, "doc_id", "toxic").where("doc_id is not null").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (3, 1)]
+
+
+@pytest.mark.parametrize("model", [toxicity, quality])
+def test_odd_documents(spark, model):
+    """Repeated and null keys, clashing columns, a very long text; keys without labels are scored too."""
+    label = "toxic" if model is toxicity else "quality"
+    docs, labels = toxic_rows(9)
+    rows = [(k, t, 7, "s") for k, t in docs] + [(5, docs[5][1], 7, "s"), (None, "moron", 7, "s"), (None, None, 7, "s"), (900, "fine " * 200_000, 7, "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, __y int, score string")
+    known = spark.createDataFrame(labels + labels[:9] + [(11, 1 - dict(labels)[11]), (None, 1)], f"doc_id long, {label} int")
+    trained = model.train(d, known)
+    got = model.score(d, trained, ["doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out")]).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.held_out is not None for r in got)
+    assert model.score(d.where("false"), trained, ["doc_id"]).count() == 0
+
+
 def test_matches_by_definition():
     lexicon = toxicity.Lexicon({"abc": 1.0, "xy*": 2.0}, {"abc": {("<", "not")}}, [0, 1, 1])
     found = lambda t: sorted(m[0] for m in lexicon.matches(t))
     assert found("abc xabc abcd a8c abc$$$ ABC") == ["abc"] * 4
     assert found("not abc") == [] and found("xyz xy axy") == ["xy*", "xy*"]
+    phrases = toxicity.Lexicon({"abc": 1.0}, {"abc": {("<", "in an"), (">", "of it"), ("<>", "a b")}}, [0, 1, 1])
+    found = lambda t: len(list(phrases.matches(t)))
+    assert [found(t) for t in ("in an abc", "an abc", "abc of it", "abc of", "a abc b", "a abc", "abc b", "x in an abc y")] == [0, 1, 0, 1, 0, 1, 1, 0]
 
 
 # -- quality -----------------------------------------------------------------------------
@@ -137,6 +199,56 @@ def test_quality(spark):
     assert quality.score(docs, empty, ["doc_id"]).where("score > 0.001").count() == 0
 
 
+def slow_fit(x: list[list[float]], y: list[float], rounds: int) -> tuple:
+    """Boosting of feature tables by plain loops: bins at quantiles, each tree the best cuts one after another."""
+    n, m = len(y), len(x[0])
+    base = math.log(sum(y) / n / (1 - sum(y) / n))
+    edges = []
+    for k in range(m):
+        own = sorted(r[k] for r in x)
+        edges.append(sorted({own[round(q * (n - 1) / quality.BINS + (-1e-9 if (q * (n - 1) / quality.BINS) % 1 == 0.5 and int(q * (n - 1) / quality.BINS) % 2 == 0 else 0))] for q in range(1, quality.BINS)}))
+    at = [[sum(e <= r[k] for e in edges[k]) for k in range(m)] for r in x]
+    tables = [[0.0] * (len(e) + 1) for e in edges]
+    total = [base] * n
+    for _ in range(rounds):
+        for k in range(m):
+            p = [1 / (1 + math.exp(-t)) for t in total]
+            size = len(tables[k])
+            g = [sum(y[i] - p[i] for i in range(n) if at[i][k] == b) for b in range(size)]
+            h = [sum(max(p[i] * (1 - p[i]), 1e-6) for i in range(n) if at[i][k] == b) for b in range(size)]
+            worth = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + 1)
+            spans = [(0, size)]
+            while len(spans) < quality.LEAVES:
+                cuts = [(worth(a, c) + worth(c, b) - worth(a, b), -s, -c) for s, (a, b) in enumerate(spans) for c in range(a + 1, b)]
+                if not cuts or max(cuts)[0] <= 1e-9:
+                    break
+                _, s, c = max(cuts)
+                a, b = spans.pop(-s)
+                spans += [(a, -c), (-c, b)]
+            for a, b in spans:
+                for c in range(a, b):
+                    tables[k][c] += quality.RATE * sum(g[a:b]) / (sum(h[a:b]) + 1)
+            for i in range(n):
+                a, b = next(s for s in spans if s[0] <= at[i][k] < s[1])
+                total[i] += quality.RATE * sum(g[a:b]) / (sum(h[a:b]) + 1)
+    return base, edges, tables
+
+
+def test_tables_by_plain_loops(monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 4)
+    monkeypatch.setattr(quality, "PAIRS", 0)
+    monkeypatch.setattr(quality, "BINS", 5)
+    rng = np.random.default_rng(3)
+    x = rng.random((61, 3))
+    y = (x[:, 0] + 0.3 * rng.random(61) > 0.6).astype(float)
+    model = quality.fit(x, y)
+    base, edges, tables = slow_fit(x.tolist(), y.tolist(), 4)
+    assert model.base == pytest.approx(base)
+    assert [e.tolist() for e in model.edges] == [pytest.approx(e) for e in edges]
+    for got, want in zip(model.tables, tables):
+        assert got.tolist() == pytest.approx(want, abs=1e-9)
+
+
 def test_pairs_find_what_single_features_cannot():
     rng = np.random.default_rng(1)
     x = np.zeros((3000, len(quality.FEATURES)))
