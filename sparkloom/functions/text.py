@@ -131,6 +131,10 @@ FUNCTIONS = {
     "unistr": lambda a: quoted(re.sub(r"\\\\|\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})|\\\+([0-9a-fA-F]{6})|\\([0-9a-fA-F]{4})", lambda m: chr(int(next(g for g in m.groups() if g), 16)) if any(m.groups()) else "\\", literal(a[0]))),
     "typeof": _typeof,
     "randomblob": macro("substr(unhex(concat_ws('', transform(sequence(1, {0}), k -> lpad(hex(CAST(floor(rand() * 256) AS BIGINT)), 2, '0')))), 1, {0})"),
+    "octet_length": macro("CAST(octet_length({0}) AS BIGINT)"),
     "sqlite_version": lambda a: "'3.51.0'",
+    "sqlite_source_id": lambda a: "'none'",
+    "sqlite_compileoption_used": lambda a: "0",
+    "sqlite_compileoption_get": lambda a: "CAST(NULL AS STRING)",
     "zeroblob": macro("unhex(repeat('00', {0}))"),
 }
