@@ -6,6 +6,7 @@ current one of each name, with transactions and constraints.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,17 +76,22 @@ class Constraints:
     default: dict[str, str] = field(default_factory=dict)
 
     def verify(self, table: DataFrame) -> None:
-        """Raise if a row breaks a constraint; a check that is unknown holds."""
-        for c in self.not_null:
-            if not table.where(F.col(c).isNull()).isEmpty():
-                raise ConstraintError(f"NOT NULL constraint failed: {c}")
+        """Raise if a row breaks a constraint; a check that is unknown holds.
+
+        One pass over the rows for all NOT NULL and CHECK rules, and one aggregation
+        for each unique key.
+        """
+        rules = [(F.col(c).isNull(), f"NOT NULL constraint failed: {c}") for c in self.not_null]
+        rules += [(~expr(c), f"CHECK constraint failed: {c}") for c in self.check]
+        if rules:
+            broken = table.agg(*[F.bool_or(F.coalesce(rule, F.lit(False))).alias(f"r{k}") for k, (rule, _) in enumerate(rules)]).first()
+            for k, (_, text) in enumerate(rules):
+                if broken[k]:
+                    raise ConstraintError(text)
         for key in self.unique:
             known = table.dropna(subset=key)
             if not known.groupBy(*key).count().where("count > 1").isEmpty():
                 raise ConstraintError(f"UNIQUE constraint failed: {', '.join(key)}")
-        for c in self.check:
-            if not table.where(~expr(c)).isEmpty():
-                raise ConstraintError(f"CHECK constraint failed: {c}")
 
 
 class Database:
@@ -97,6 +103,9 @@ class Database:
         self.rules: dict[str, Constraints] = {}
         self._saved: list[tuple[dict, dict]] = []
         self._changes: dict[str, int] = {}
+        #: rows changed by the last statement and by all, and the last integer key inserted
+        self.changes = self.total_changes = 0
+        self.last_insert_rowid: int | None = None
 
     def create(self, name: str, table: DataFrame | str, rules: Constraints | None = None, if_not_exists: bool = False) -> None:
         """A table from a DataFrame, or an empty one from a column list."""
@@ -136,16 +145,39 @@ class Database:
             new = replace(table, rows, rules.unique[0])
         else:
             new = insert(table, rows)
-        self._put(name, new)
+        try:
+            self._put(name, new)
+        except ConstraintError:
+            if conflict == "rollback" and self._saved:
+                self.rollback()
+            raise
+        n = rows.count() if conflict != "ignore" else new.count() - table.count()
+        self._counted(n)
+        key = next((k[0] for k in rules.unique if len(k) == 1), None)
+        if n and key and rows.schema[key].dataType.simpleString() == "bigint":
+            self.last_insert_rowid = rows.agg(F.max(key)).first()[0]
+
+    def _counted(self, n: int) -> None:
+        self.changes = n
+        self.total_changes += n
 
     def update(self, name: str, changes: dict[str, str], where: str | None = None) -> None:
-        self._put(name, update(self.tables[name], changes, where))
+        table = self.tables[name]
+        n = (table.where(expr(where)) if where else table).count()
+        self._put(name, update(table, changes, where))
+        self._counted(n)
 
     def delete(self, name: str, where: str = "true") -> None:
-        self._put(name, delete(self.tables[name], where))
+        table = self.tables[name]
+        n = table.where(expr(where)).count()
+        self._put(name, delete(table, where))
+        self._counted(n)
 
     def upsert(self, name: str, rows: DataFrame, key: list[str], changes: dict[str, str] | None = None) -> None:
-        self._put(name, upsert(self.tables[name], rows, key, changes))
+        table = self.tables[name]
+        new = upsert(table, rows, key, changes)
+        self._put(name, new)
+        self._counted(rows.count() if changes else new.count() - table.count())
 
     def begin(self) -> None:
         self._saved.append((dict(self.tables), dict(self.rules)))
@@ -163,4 +195,8 @@ class Database:
             table.createOrReplaceTempView(name)
 
     def sql(self, text: str) -> DataFrame:
+        """A query; changes(), total_changes() and last_insert_rowid() are this database's."""
+        for name in ("total_changes", "changes", "last_insert_rowid"):
+            value = getattr(self, name)
+            text = re.sub(rf"\b{name}\s*\(\s*\)", "NULL" if value is None else str(value), text, flags=re.IGNORECASE)
         return query(self.spark, text)
