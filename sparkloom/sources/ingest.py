@@ -14,6 +14,7 @@ files that lack a column read NULL.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from functools import reduce
 
@@ -73,6 +74,9 @@ class EventTable:
         found = [int(n[9:-5]) for n in self._names(self.location) if n.startswith("manifest-") and n.endswith(".json")]
         self.version = max(found, default=0)
         self.files: list[dict] = []
+        #: the last batch of each writer that follows a stream; files that are no longer read, and since when
+        self.batches: dict[str, int] = {}
+        self.gone: list[list] = []
         self.schema: T.StructType | None = None
         if self.version:
             fs, where = self._fs(f"{self.location}/manifest-{self.version}.json")
@@ -80,12 +84,20 @@ class EventTable:
             text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             stream.close()
             held = json.loads(text)
-            self.files = held["files"]
+            self.files, self.batches, self.gone = held["files"], held.get("batches", {}), held.get("gone", [])
             self.schema = T.StructType.fromJson(held["schema"])
 
-    def _commit(self, files: list[dict], schema: T.StructType) -> None:
-        """Write the next manifest; a rename to a name that exists fails."""
-        body = json.dumps({"files": files, "schema": json.loads(schema.json())})
+    def _commit(self, files: list[dict], schema: T.StructType, batch: tuple[str, int] | None = None, gone: list[list] | None = None) -> None:
+        """Write the next manifest; a rename to a name that exists fails.
+
+        The manifest also says which batch of a stream it holds, so what is replayed
+        after a failure is known whoever replays it.
+        """
+        batches = self.batches | ({batch[0]: batch[1]} if batch else {})
+        kept = {f["path"] for f in files}
+        left = [[f["path"], time.time_ns()] for f in self.files if f["path"] not in kept]
+        held = {"files": files, "schema": json.loads(schema.json()), "batches": batches, "gone": (self.gone if gone is None else gone) + left}
+        body = json.dumps(held)
         fs, part = self._fs(f"{self.location}/.tmp-{uuid.uuid4().hex}")
         out = fs.create(part)
         out.write(bytearray(body.encode("utf-8")))
@@ -117,15 +129,17 @@ class EventTable:
             for r in rows
         ]
 
-    def append(self, df: DataFrame) -> None:
-        """Add rows: one commit."""
+    def append(self, df: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Add rows: one commit.  ``batch``: the writer and number of a stream's batch; one that is held is not added again."""
+        if batch and self.batches.get(batch[0], -1) >= batch[1]:
+            return
         new = merged(self.schema, df.schema) if self.schema else df.schema
         if self.strict and self.schema and new != self.schema:
             raise ValueError("rows don't fit the table's schema")
         before, self.schema = self.schema, new
         try:
             files = self._write(df, "hour")
-            self._commit(self.files + files, new)
+            self._commit(self.files + files, new, batch)
         except Exception:
             self.schema = before
             raise
@@ -195,13 +209,22 @@ class EventTable:
                 df = df.where(F.col(c) <= F.lit(hi).cast(kind))
         return df.where(expr(where)) if where else df
 
+    def vacuum(self, grace_ns: int = 0, now_ns: int | None = None) -> int:
+        """Delete files that no manifest has read for ``grace_ns``; returns how many."""
+        now = time.time_ns() if now_ns is None else now_ns
+        old = [g for g in self.gone if now - g[1] >= grace_ns]
+        for path, _ in old:
+            fs, where = self._fs(path)
+            fs.delete(where, False)
+        if old:
+            self._commit(self.files, self.schema, gone=[g for g in self.gone if now - g[1] < grace_ns])
+        return len(old)
+
     def follow(self, stream: DataFrame, checkpoint: str):
-        """Append the batches of a stream; a replayed batch of the same writer is not added twice."""
-        done: set[int] = set()
+        """Append the batches of a stream; a replayed batch is not added twice, whichever process replays it."""
 
         def each(batch: DataFrame, number: int) -> None:
-            if number not in done:
-                self.append(batch)
-                done.add(number)
+            self.refresh()
+            self.append(batch, (checkpoint, number))
 
         return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

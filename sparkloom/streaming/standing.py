@@ -5,7 +5,7 @@ from __future__ import annotations
 import operator
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 
 _OPERATORS: dict[str, Callable] = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "=": operator.eq, "<>": operator.ne}
 
@@ -25,7 +25,7 @@ class StandingQuery:
         self.last: list[Row] | None = None
         self.since: int | None = None
         self.fired = False
-        self.batches: set[int] = set()
+        self.told = -1
 
     def poll(self, df: DataFrame, now_ns: int = 0) -> list[Row]:
         """What the data has to say now."""
@@ -48,18 +48,46 @@ class StandingQuery:
         self.fired = True
         return rows
 
-    def attach(self, stream: DataFrame, sink: Callable[[int, list[Row]], None], clock: Callable[[], int], **options):
-        """Run over the batches of a stream; a batch that is replayed is not told twice."""
+    def attach(self, stream: DataFrame, sink: Callable[[int, list[Row]], None], clock: Callable[[], int], state: str | None = None, **options):
+        """Run over the batches of a stream; a batch that is replayed is not told twice.
+
+        Numbers of batches rise, so the last one told is all that is remembered; with
+        ``state`` (a folder) it is written down there and holds after a restart too.
+        """
+        spark = stream.sparkSession
+        if state and (held := _numbers(spark, state)):
+            self.told = max(self.told, max(held))
 
         def each(batch: DataFrame, number: int) -> None:
-            if number in self.batches:
+            if number <= self.told:
                 return
             found = self.poll(batch, clock())
-            self.batches.add(number)
             if found:
                 sink(number, found)
+            self.told = number
+            if state:
+                _write_number(spark, state, number)
 
         writer = stream.writeStream.foreachBatch(each)
         for k, v in options.items():
             writer = writer.option(k, v)
         return writer.trigger(availableNow=True).start()
+
+
+def _fs(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _numbers(spark: SparkSession, state: str) -> list[int]:
+    fs, where = _fs(spark, state)
+    return [int(f.getPath().getName()[6:]) for f in fs.listStatus(where) if f.getPath().getName().startswith("batch-")] if fs.exists(where) else []
+
+
+def _write_number(spark: SparkSession, state: str, number: int) -> None:
+    """An empty file with the number in its name; older ones go."""
+    fs, where = _fs(spark, f"{state}/batch-{number}")
+    fs.create(where, True).close()
+    for old in _numbers(spark, state):
+        if old < number:
+            fs.delete(_fs(spark, f"{state}/batch-{old}")[1], False)

@@ -132,13 +132,33 @@ def report(df: DataFrame, time: str) -> dict:
 
 
 _RANGE = re.compile(r"^\s*select\s+(\w+)\s*\(\s*(\*|\w+)\s*\)\s*range\s+(\d+\s*\w+?)\s*(?:as\s+(\w+)\s*)?from\s+(\w+)(.*)$", re.IGNORECASE | re.DOTALL)
-_SCOPE = re.compile(r"\b(since|until)\s+(\d+\s*[a-z]+)", re.IGNORECASE)
+_SCOPE = re.compile(r"\b(since|until)\s+(all\b|\d+\s*[a-z]+)", re.IGNORECASE)
+_SIZE = re.compile(r"\s*(\d+)\s*(b|kb|mb|gb)\s*", re.IGNORECASE)
+#: What a log query sees if it does not say.
+DEFAULT_SCOPE = "1 h"
 
 
-def query(df: DataFrame, sql: str, time: str = "timestamp", name: str = "log") -> DataFrame:
+class UnboundedQuery(ValueError):
+    """A statement that would have to hold all of a log."""
+
+
+def _refuse(sql: str, unbounded: bool) -> None:
+    """Joins, and over all of a log what cannot answer before its end and has no bound."""
+    plain = re.sub(r"'(?:[^']|'')*'", "''", sql).upper()
+    if re.search(r"\bJOIN\b", plain):
+        raise UnboundedQuery("a log query does not join; use sparkloom.streaming.joins")
+    if unbounded:
+        for words in (r"ORDER\s+BY", r"SELECT\s+DISTINCT"):
+            if re.search(rf"\b{words}\b", plain) and not re.search(r"\bLIMIT\s+\d", plain):
+                raise UnboundedQuery(f"{words.replace(chr(92) + 's+', ' ')} over all of a log needs a LIMIT")
+
+
+def query(df: DataFrame, sql: str, time: str = "timestamp", name: str = "log", default: str | None = DEFAULT_SCOPE, text: str = "raw") -> DataFrame:
     """A statement over a log: plain SQL, or ``SELECT f(x) RANGE 5 m FROM log``, with SINCE and UNTIL.
 
-    ``severity >= 'WARN'`` compares by severity number.
+    SINCE takes a duration, ``n lines``, a size (``10 mb`` of the column ``text``) or
+    ALL; without it the last ``default`` counts.  ``severity >= 'WARN'`` compares by
+    severity number.
     """
     from sparkloom.sources.logs import with_severity_names
     from sparkloom.sql import expr
@@ -146,8 +166,14 @@ def query(df: DataFrame, sql: str, time: str = "timestamp", name: str = "log") -
 
     bounds = {m[1].lower(): m[2] for m in _SCOPE.finditer(sql)}
     sql = with_severity_names(_SCOPE.sub("", sql))
-    if bounds:
-        df = scope(df, time, bounds.get("since"), bounds.get("until"))
+    since = bounds.get("since", default)
+    unbounded = since is None or since.lower() == "all"
+    _refuse(sql, unbounded)
+    if not unbounded and (size := _SIZE.fullmatch(since)):
+        df = last_bytes(df, time, text, int(size[1]) << {"b": 0, "kb": 10, "mb": 20, "gb": 30}[size[2].lower()])
+        since = None
+    if not unbounded or bounds.get("until"):
+        df = scope(df, time, None if unbounded else since, bounds.get("until"))
     if m := _RANGE.match(sql):
         function, column, size, label, _, rest = m.groups()
         rest = rest.strip()
