@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import moving, relational
+from sparkloom.plans import further, moving, relational
 from sparkloom.session import TABLES, register
 from sparkloom.sql import query
 
@@ -28,10 +28,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of(relational.REPORTS["report_pricing"])(spark, sf_dir)
 
 
+_TEXT = relational.QUERIES | further.TEXT
+_CALLS = moving.QUERIES | further.CALLS
+
+
 def queries() -> dict[str, Query]:
-    return {k: _of(v if isinstance(v, str) else v[0]) for k, v in relational.QUERIES.items()} | {k: f for k, (f, _) in moving.QUERIES.items()}
+    return {k: _of(v if isinstance(v, str) else v[0]) for k, v in _TEXT.items()} | {k: f for k, (f, _) in _CALLS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    plain = {k: v if isinstance(v, str) else v[1] for k, v in relational.QUERIES.items()}
-    return plain | {k: sql for k, (_, sql) in moving.QUERIES.items() if sql}
+    plain = {k: v if isinstance(v, str) else v[1] for k, v in _TEXT.items()}
+    return plain | {k: sql for k, (_, sql) in _CALLS.items() if sql}

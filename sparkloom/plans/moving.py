@@ -22,11 +22,15 @@ HOUR = 3600
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for tables that a query writes: the shared one, if the session names it."""
+    """A folder for tables that a query writes: the shared one; a local session without one has the temp folder."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         directory = spark.sparkContext._jsc.sc().getCheckpointDir()
-        held = directory.get() if directory.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "sparkloom-tables")
+        held = directory.get() if directory.isDefined() else None
+    if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        held = "file://" + os.path.join(tempfile.gettempdir(), "sparkloom-tables")
     return f"{held.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -112,9 +116,10 @@ def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def _events_stream(spark: SparkSession, d: str) -> DataFrame:
-    batch = load(spark, d, "events")
     path = f"{d}/events.parquet"
-    return spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(path if not path.endswith(".parquet") else os.path.dirname(path) + "/events*")
+    # a stream reads folders: a table of one file is named by a pattern
+    one = next(iter(spark.read.parquet(path).inputFiles()), "").endswith("/events.parquet")
+    return spark.readStream.schema(load(spark, d, "events").schema).parquet(f"{d}/events*" if one else path)
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -124,14 +129,27 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_static_join(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of events with a lookup table."""
     kinds = spark.createDataFrame([("click", 1), ("view", 2), ("purchase", 3)], "event_type string, weight int")
-    return joins.with_table(load(spark, d, "events"), F.broadcast(kinds), "event_type").select("event_id", "weight")
+    return _drained(joins.with_table(_events_stream(spark, d), F.broadcast(kinds), "event_type").select("event_id", "weight"), "stream-static")
+
+
+def _views_and_purchases(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    a = events.where("event_type = 'view'").select(F.col("event_id").alias("a"), F.col("user_id").alias("ua"), F.col("ts").cast("timestamp").alias("ta"))
+    b = events.where("event_type = 'purchase'").select(F.col("event_id").alias("b"), F.col("user_id").alias("ub"), F.col("ts").cast("timestamp").alias("tb"))
+    return a, b
 
 
 def stream_stream_join(spark: SparkSession, d: str) -> DataFrame:
-    events = load(spark, d, "events")
-    a = events.where("event_type = 'view'").select(F.col("event_id").alias("a"), F.col("user_id").alias("ua"), F.col("ts").alias("ta"))
-    b = events.where("event_type = 'purchase'").select(F.col("event_id").alias("b"), F.col("user_id").alias("ub"), F.col("ts").alias("tb"))
+    """Two streams, matched within six hours."""
+    a, _ = _views_and_purchases(_events_stream(spark, d))
+    _, b = _views_and_purchases(_events_stream(spark, d))
+    return _drained(joins.between_streams(a, b, F.col("ua") == F.col("ub"), "ta", "tb", 6 * HOUR, 31 * 24 * HOUR).select("a", "b"), "stream-stream")
+
+
+def interval_join(spark: SparkSession, d: str) -> DataFrame:
+    """The same over tables."""
+    a, b = _views_and_purchases(load(spark, d, "events"))
     return joins.between_streams(a, b, F.col("ua") == F.col("ub"), "ta", "tb", 6 * HOUR).select("a", "b")
 
 
@@ -151,7 +169,7 @@ def standing_on_change(spark: SparkSession, d: str) -> DataFrame:
 
 
 def standing_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """The day on which the count of errors is first above a tenth of all events."""
+    """The count of errors on the day on which it has been above three for two days."""
     events = load(spark, d, "events")
     count = F.count(F.lit(1))
     watch = StandingQuery(lambda df: df.where("event_type = 'error'").agg(count.alias("n")), "threshold", ">", 3, hold_ns=2)
@@ -257,7 +275,7 @@ def ingest_append_compact(spark: SparkSession, d: str) -> DataFrame:
     t.append(events.where("event_id % 2 = 0"))
     t.append(events.where("event_id % 2 = 1"))
     t.compact()
-    return t.snapshot().where("day(ts) <= 3").select("event_id", "event_type")
+    return t.snapshot().select("event_id", "event_type")
 
 
 def schema_widen(spark: SparkSession, d: str) -> DataFrame:
@@ -266,7 +284,7 @@ def schema_widen(spark: SparkSession, d: str) -> DataFrame:
     t = EventTable(spark, scratch(spark, "events"))
     t.append(events.selectExpr("event_id", "ts", "CAST(user_id AS INT) AS v"))
     t.append(events.selectExpr("event_id + 1000000 AS event_id", "ts", "value AS v", "event_type AS more"))
-    return t.snapshot().where("day(ts) = 1").select("event_id", "v", "more")
+    return t.snapshot().select("event_id", "v", "more")
 
 
 def manifest_prune(spark: SparkSession, d: str) -> DataFrame:
@@ -285,6 +303,11 @@ def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").groupBy("l_returnflag").agg(reports.approx_distinct("l_orderkey").alias("n"))
 
 
+_NEAR = "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts + INTERVAL 6 HOUR"
+#: The number of each day, from 1, and the errors up to its end.
+_BY_DAY = """(SELECT CAST(d AS INTEGER) AS day, (SELECT count(*) FROM events WHERE event_type = 'error' AND CAST(ts AS DATE) < f + CAST(d AS INTEGER)) AS n
+    FROM (SELECT CAST(min(ts) AS DATE) AS f, date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1 AS m FROM events) r, range(1, 400) t(d) WHERE d <= m)"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "view": (view, "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS m FROM orders WHERE o_totalprice > 250000 GROUP BY o_custkey"),
     "bound_parameters": (bound_parameters, "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'"),
@@ -298,11 +321,13 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "scope_since_until": (scope_since_until, "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY AND ts <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY"),
     "scope_last_lines": (scope_last_lines, "SELECT ts FROM events ORDER BY ts DESC LIMIT 25"),
     "stream_sql": (stream_sql, f"SELECT w AS window_start, count(*) AS n FROM (SELECT {_WINDOW} AS w FROM events WHERE event_type = 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY) t WHERE w + 3600000000000 > (SELECT max(epoch_us(ts)) * 1000 FROM events WHERE event_type = 'error') - 3600000000000 GROUP BY 1"),
-    "stream_windows": (stream_windows, None),
+    # a window comes out once the watermark, one window behind the latest event, has passed its end
+    "stream_windows": (stream_windows, f"SELECT {_WINDOW} AS window_start, count(*) AS n FROM events WHERE NOT ({_OPEN}) GROUP BY 1"),
     "stream_static_join": (stream_static_join, "SELECT event_id, CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS INTEGER) AS weight FROM events WHERE event_type IN ('click', 'view', 'purchase')"),
-    "stream_stream_join": (stream_stream_join, "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts + INTERVAL 6 HOUR"),
-    "standing_onchange": (standing_on_change, None),
-    "standing_threshold": (standing_threshold, None),
+    "stream_stream_join": (stream_stream_join, _NEAR),
+    "interval_join": (interval_join, _NEAR),
+    "standing_onchange": (standing_on_change, f"SELECT day, n FROM (SELECT day, n, lag(n) OVER (ORDER BY day) AS before FROM {_BY_DAY}) x WHERE n IS DISTINCT FROM before"),
+    "standing_threshold": (standing_threshold, f"SELECT day, n FROM {_BY_DAY} y WHERE day = (SELECT min(day) + 2 FROM {_BY_DAY} z WHERE n > 3)"),
     "log_parse_syslog": (log_syslog, "SELECT event_id, CAST([21, 21, 21, 17, 13, 9, 9, 5][user_id % 8 + 1] AS INTEGER) AS severity, 'local0' AS facility, 'host' || (user_id % 3) AS host, event_type AS service, 'took ' || user_id || ' ms' AS message, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t FROM events"),
     "log_parse_clf": (log_clf, "SELECT event_id, '10.0.0.' || (user_id % 200) AS host, '/' || event_type || '/' || event_id AS path, 200 + user_id % 5 * 100 AS status, 'curl/8.0' AS agent, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t FROM events"),
     "log_parse_jsonl": (log_jsonl, "SELECT event_id, CAST([1, 5, 9, 13, 17, 21][user_id % 6 + 1] AS INTEGER) AS severity, ['TRACE', 'DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL'][user_id % 6 + 1] AS severity_text, event_type AS message, 'shop' AS service, '/x' AS url, CAST(epoch_us(ts) // 1000 AS BIGINT) AS t FROM events"),
@@ -315,8 +340,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "dml_replace": (dml_replace, "SELECT * FROM nation WHERE n_nationkey < 23 UNION ALL SELECT n_nationkey + 3, 'r', n_regionkey FROM nation WHERE n_nationkey >= 20"),
     "dml_script": (dml_script, "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey IN (1, 2) THEN lower(n_name) WHEN n_nationkey = 4 THEN 'four' WHEN n_nationkey = 5 THEN 'five' ELSE n_name END AS name, CAST(CASE WHEN n_nationkey IN (1, 2) THEN 8 WHEN n_nationkey = 4 THEN 4 WHEN n_nationkey = 5 THEN 9 ELSE 7 END AS BIGINT) AS r FROM nation WHERE n_nationkey < 9 UNION ALL VALUES (50, 'fifty', 5), (60, 'sixty', 6)"),
     "rollup_totals": (rollup_totals, "SELECT count(*)::BIGINT AS n, round(sum(value), 4) AS s, min(value) AS lo, max(value) AS hi FROM events"),
-    "ingest_append_compact": (ingest_append_compact, "SELECT event_id, event_type FROM events WHERE day(ts) <= 3"),
-    "schema_widen": (schema_widen, "SELECT event_id, CAST(user_id AS DOUBLE) AS v, CAST(NULL AS VARCHAR) AS more FROM events WHERE day(ts) = 1 UNION ALL SELECT event_id + 1000000, value, event_type FROM events WHERE day(ts) = 1"),
+    "ingest_append_compact": (ingest_append_compact, "SELECT event_id, event_type FROM events"),
+    "schema_widen": (schema_widen, "SELECT event_id, CAST(user_id AS DOUBLE) AS v, CAST(NULL AS VARCHAR) AS more FROM events UNION ALL SELECT event_id + 1000000, value, event_type FROM events"),
     "manifest_prune": (manifest_prune, "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-03'"),
     "agg_approx_distinct": (approx_distinct, None),
 }

@@ -9,8 +9,8 @@ from __future__ import annotations
 L = "lineitem"
 
 SCANS = {
-    "scan_project": "SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS v, upper(l_returnflag) AS f FROM lineitem WHERE l_orderkey < 2000",
-    "scan_star": "SELECT * FROM orders WHERE o_orderkey <= 500",
+    "scan_project": "SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS v, upper(l_returnflag) AS f FROM lineitem",
+    "scan_star": "SELECT * FROM orders",
     "scan_pruned_count": "SELECT count(*) AS n FROM orders WHERE o_orderkey < 1000",
     "no_from": "SELECT 1 + 2 AS a, 'x' || 'y' AS b, NULL IS NULL AS c",
     "values_from": "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (NULL, 'z')) AS v(a, b) WHERE a IS NULL OR a > 1",
