@@ -89,8 +89,9 @@ def format_of(line: Column) -> Column:
 def unwrapped(line: Column) -> tuple[Column, Column, Column]:
     """The payload of a container line, the container (docker, cri or null) and its time."""
     log = F.get_json_object(line, "$.log")
-    docker = line.rlike(r"^\s*\{") & log.isNotNull() & F.get_json_object(line, "$.stream").isNotNull()
-    cri = line.rlike(_CRI)
+    # plain searches first: most lines have no wrapping, and JSON is parsed for those only that can have one
+    docker = line.contains('"stream"') & line.contains('"log"') & line.rlike(r"^\s*\{") & log.isNotNull() & F.get_json_object(line, "$.stream").isNotNull()
+    cri = (line.contains(" stdout ") | line.contains(" stderr ")) & line.rlike(_CRI)
     payload = F.when(docker, F.rtrim(log, F.lit("\n"))).when(cri, F.regexp_extract(line, _CRI, 4)).otherwise(line)
     kind = F.when(docker, F.lit("docker")).when(cri, F.lit("cri"))
     when = F.when(docker, F.get_json_object(line, "$.time")).when(cri, F.regexp_extract(line, _CRI, 1))
@@ -107,36 +108,31 @@ def detect(lines: DataFrame, column: str = "value") -> str | None:
     return None
 
 
-def _first(fields: Column, what: str) -> Column:
-    """The value of the first key that is a name of ``what``, whatever its case."""
-    names = F.array(*[F.lit(a) for a in ALIASES[what]])
-    found = F.map_values(F.map_filter(fields, lambda k, v: F.array_contains(names, F.lower(k)) & v.isNotNull()))
-    return F.try_element_at(found, F.lit(1))
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _map_of(entries: Column) -> Column:
-    """A map of (key, value) entries; of two with one key the first counts."""
-    return _let(
-        entries,
-        lambda es: _let(
-            F.transform(es, lambda e: e["key"]),
-            lambda keys: F.map_from_entries(F.filter(es, lambda e, k: F.array_position(keys, e["key"]) == k + 1)),
-        ),
-    )
+def _canonical(entries: Column) -> Column:
+    """A map of (key, value) entries under the well-known names; of two with one name the first counts.
+
+    Well-known timestamps, levels and messages without a value don't count at all.
+    """
+    names = {a: w for w, aliases in ALIASES.items() for a in aliases}
+    lead = F.array(*[F.lit(w) for w in ("timestamp", "level", "message")])
+    named = F.transform(entries, lambda e: F.struct(F.coalesce(_lookup(names, F.lower(e["key"])), e["key"]).alias("key"), e["value"].alias("value")))
 
+    def first(given: Column) -> Column:
+        keys = F.transform(given, lambda e: e["key"])
+        return _let(keys, lambda ks: F.filter(given, lambda e, k: F.array_position(ks, e["key"]) == k + 1))
 
-def _rest(fields: Column) -> Column:
-    """Keys that are not promoted; names of host, service and pid become those."""
-    promoted = F.array(*[F.lit(a) for w in ("timestamp", "level", "message") for a in ALIASES[w]])
-    renamed = {a: w for w in ("host", "service", "pid") for a in ALIASES[w]}
-    kept = F.map_filter(fields, lambda k, v: ~F.array_contains(promoted, F.lower(k)))
-    entries = F.transform(F.map_entries(kept), lambda e: F.struct(F.coalesce(_lookup(renamed, F.lower(e["key"])), e["key"]).alias("key"), e["value"].alias("value")))
-    return _map_of(entries)
+    def of(es: Column) -> Column:
+        # names that come twice are rare: only then each is looked up among those before it
+        once = F.size(F.array_distinct(F.transform(es, lambda e: e["key"]))) == F.size(es)
+        given = F.filter(es, lambda e: e["value"].isNotNull() | ~F.array_contains(lead, e["key"]))
+        return F.when(once, F.map_from_entries(es)).otherwise(F.map_from_entries(_let(given, first)))
+
+    return _let(named, of)
 
 
 def _syslog(line: Column, year: int) -> dict[str, Column]:
@@ -173,34 +169,31 @@ def _clf(line: Column) -> dict[str, Column]:
 
 def _promoted(fields: Column) -> dict[str, Column]:
     return {
-        "timestamp": epoch_nanos(_first(fields, "timestamp")),
-        "severity": severity_of(_first(fields, "level")),
+        "timestamp": epoch_nanos(F.try_element_at(fields, F.lit("timestamp"))),
+        "severity": severity_of(F.try_element_at(fields, F.lit("level"))),
         "facility": F.lit(None).cast("string"),
-        "message": _first(fields, "message"),
-        "fields": _rest(fields),
+        "message": F.try_element_at(fields, F.lit("message")),
+        "fields": F.map_filter(fields, lambda k, v: ~k.isin("timestamp", "level", "message")),
     }
 
 
 def _json(line: Column) -> Column:
     """Keys of the object and, behind a dot, of objects in it; arrays stay JSON text."""
     options = {"allowUnquotedControlChars": "true"}
-    top = F.coalesce(F.from_json(line, "map<string,string>", options), F.create_map().cast("map<string,string>"))
-    nested = F.flatten(
-        F.transform(
-            F.map_entries(top),
-            lambda e: F.when(
-                e["value"].rlike(r"^\{"),
-                F.filter(
-                    F.transform(
-                        F.map_entries(F.from_json(e["value"], "map<string,string>", options)),
-                        lambda i: F.struct(F.concat(e["key"], F.lit("."), i["key"]).alias("key"), i["value"].alias("value")),
-                    ),
-                    lambda i: ~F.coalesce(i["value"].rlike(r"^\{"), F.lit(False)),
-                ),
-            ).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")))),
+    top = F.map_entries(F.coalesce(F.from_json(line, "map<string,string>", options), F.create_map().cast("map<string,string>")))
+    is_object = lambda e: F.coalesce(e["value"].startswith("{"), F.lit(False))
+
+    def inner(e: Column) -> Column:
+        dotted = F.transform(
+            F.map_entries(F.from_json(e["value"], "map<string,string>", options)),
+            lambda i: F.struct(F.concat(e["key"], F.lit("."), i["key"]).alias("key"), i["value"].alias("value")),
         )
-    )
-    return _map_of(nested)
+        return F.when(is_object(e), F.filter(dotted, lambda i: ~is_object(i))).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
+    def of(entries: Column) -> Column:
+        return _canonical(F.when(F.exists(entries, is_object), F.flatten(F.transform(entries, inner))).otherwise(entries))
+
+    return _let(top, of)
 
 
 def _logfmt(line: Column) -> Column:
@@ -208,11 +201,12 @@ def _logfmt(line: Column) -> Column:
     pairs = F.regexp_extract_all(line, F.lit(_PAIR), F.lit(0))
 
     def entry(p: Column) -> Column:
-        value = F.regexp_extract(p, _PAIR, 2)
-        inside = F.regexp_replace(F.substring(value, 2, 1_000_000_000).substr(F.lit(1), F.length(value) - 2), r"\\(.)", "$1")
-        return F.struct(F.regexp_extract(p, _PAIR, 1).alias("key"), F.when(value.startswith('"'), inside).otherwise(value).alias("value"))
+        key = F.substring_index(p, "=", 1)
+        value = p.substr(F.length(key) + 2, F.length(p))
+        inside = F.regexp_replace(value.substr(F.lit(2), F.length(value) - 2), r"\\(.)", "$1")
+        return F.struct(key.alias("key"), F.when(value.startswith('"'), inside).otherwise(value).alias("value"))
 
-    return _map_of(F.transform(pairs, entry))
+    return _canonical(F.transform(pairs, entry))
 
 
 def _freeform(line: Column) -> dict[str, Column]:
