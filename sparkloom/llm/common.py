@@ -87,6 +87,14 @@ def bounded_rows(df: DataFrame, key: str, rows: int, seed: str = "sample") -> Da
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < share)
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def agreed(labels: DataFrame, key: str, label: str) -> DataFrame:
     """Rows ``key`` and ``__y`` (0 or 1), one for each key with a label and no contradictory ones."""
     known = labels.select(key, F.col(label).cast("int").alias("__y")).where(F.col("__y").isin(0, 1))

@@ -177,7 +177,10 @@ def long_lists(nodes: DataFrame) -> DataFrame:
             yield lot()
 
     counted = nodes.select("prefix").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") > PART).select("token", F.ceil(F.col("n") / PART).cast("int").alias("pieces"))
+    # an entry goes to as many pairs as there are pieces, so these grow with the root of very long lists
+    share = F.col("n") / PART
+    pieces = F.least(F.ceil(share), F.greatest(F.lit(16), F.ceil(2 * F.sqrt(share))))
+    return counted.where(F.col("n") > PART).select("token", pieces.cast("int").alias("pieces"))
 
 
 def lists(nodes: DataFrame, percent: int) -> DataFrame:

@@ -36,6 +36,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import discard, free, materialise
+
 # Forms of address by gender, particles of names, syllables of surrogate
 # names by script, and telephone country codes of one and two digits.
 MALE = ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Sir", "Don", "Κύριος", "Κύριε", "Господин")
@@ -426,14 +428,6 @@ def _matched(docs: DataFrame, body: Column, found: str) -> DataFrame:
     return docs.withColumn(found, F.explode(F.array(first))).withColumn(found, F.explode(F.array(with_names(F.col(f"`{found}`")))))
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _entities_of(found: str) -> Column:
     f = F.col(f"`{found}`")
     return F.flatten(F.transform(f["m"], lambda m: entities(m, f["names"])))
@@ -452,8 +446,6 @@ def exceptions(found: DataFrame, key: str, rounds: int = 8) -> DataFrame | None:
     """
     from pyspark.sql import Window
 
-    from sparkloom.llm.common import discard, materialise
-
     sort = F.regexp_replace("kind", "-.$", "")
     now = materialise(found.withColumn("attempt", F.lit(0)).withColumn("s", surrogate(key, F.col("kind"), F.col("canon"), F.lit(0))), "entities")
     real = now.select(sort.alias("sort"), F.lower("canon").alias("l"), F.lit(True).alias("real")).distinct()
@@ -478,7 +470,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_
     special = exceptions(find(docs, text), key)
     cols = [c for c in docs.columns if c.lower() not in (count.lower(), text.lower())]
     body = F.col(f"`{text}`")
-    found, tag, map_, new = (_free(docs, f"__{n}") for n in ("found", "tag", "attempts", "new"))
+    found, tag, map_, new = (free(docs, f"__{n}") for n in ("found", "tag", "attempts", "new"))
     attempts = None
     if special is not None:
         given = _matched(docs.select(body.alias("t")), F.col("t"), "found").where("found is not null")

@@ -205,8 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The columns ``keep`` of each document with ``score`` and ``predicted``."""
+def score(
+    docs: DataFrame, model: Model, keep: list[str | Column], text: str = "text", threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """The columns ``keep`` of each document with ``score`` and ``predicted`` (or other ``names``)."""
     texts_at = len(keep)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -217,9 +219,9 @@ def score(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "
             got = shipped.value.score(features(batch.column(batch.num_columns - 1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))],
-                [*batch.schema.names[:-1], "score", "predicted"],
+                [*batch.schema.names[:-1], *names],
             )
 
     given = docs.select(*keep, F.col(text).alias("__text"))
-    more = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    more = [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]
     return given.mapInArrow(run, T.StructType([*given.schema.fields[:-1], *more]))

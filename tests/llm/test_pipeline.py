@@ -28,3 +28,18 @@ def test_odd_rows(spark, sf):
     out = near(spark, docs, sf)
     assert out.count() == 4
     assert private(spark, leaks(spark, out, sf), sf).count() == 4
+
+
+def test_empty_and_extra_columns(spark, sf):
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted int, n_entities long, __found int, sig string"
+    row = (7, "mail a.b@mail.example.com about the price of it", "en", "s", 3, "keep", 5, 99, 4, "x")
+    for rows in ([], [row, row]):
+        docs = spark.createDataFrame(rows, names)
+        for name, stage in corpus_pipeline.STAGES[1:-1]:
+            docs = corpus_pipeline.materialise(stage(spark, docs, sf), "test")
+            assert docs.columns == [c.split()[0] for c in names.split(", ")], name
+        got = docs.collect()
+        assert len(got) == len(rows) and all((r.score, r.predicted, r.n_entities, r["__found"]) == ("keep", 5, 99, 4) and "a.b@mail" not in r.text for r in got)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(rows)
+        quality = dict(corpus_pipeline.STAGES)["quality"]
+        assert quality(spark, docs, sf).columns == docs.columns and quality(spark, docs, sf).count() <= len(rows)
