@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``.  Null and empty texts pass the near-duplicate and later
-stages; the quality model decides on them as on any other text.
+stages; the quality model decides on them as on any other text.  Columns of other names
+than those of ``documents`` stay as they are; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import crc_mod, materialise, table, vocabulary_path
+from sparkloom.llm.common import crc_mod, free, materialise, table, vocabulary_path
 from sparkloom.llm.decontamination import without_leaks
 from sparkloom.llm.jaccard_join import classes
 from sparkloom.llm.pii import pseudonymise
@@ -22,7 +23,8 @@ from sparkloom.llm.sentencepiece_codec import digests
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model rejects go."""
     model = train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
-    return score(docs, model, docs.columns).where("predicted = 1").select(*docs.columns)
+    names = free(docs, "score"), free(docs, "predicted")
+    return score(docs, model, docs.columns, names=names).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities are replaced by surrogates; ``n_chars`` follows the new text."""
-    out = pseudonymise(docs, SURROGATE_KEY).withColumn("n_chars", F.length("text").cast("bigint"))
+    out = pseudonymise(docs, SURROGATE_KEY, count=free(docs, "n_entities")).withColumn("n_chars", F.length("text").cast("bigint"))
     return out.select(*docs.columns)
 
 
