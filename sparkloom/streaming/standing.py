@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
+#: Rows of a result at most.
+MOST_ROWS = 100_000
+
 _OPERATORS: dict[str, Callable] = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "=": operator.eq, "<>": operator.ne}
 
 
 class StandingQuery:
     """Emits rows (``rows``), changed results (``on_change``) or crossings (``threshold``).
 
-    ``query`` maps the data to a small result; only that reaches the driver.  For
+    ``query`` maps the data to a result of at most ``MOST_ROWS`` rows (more are refused);
+    only that reaches the driver.  For
     thresholds the result is one number; it must hold for ``hold_ns`` before it fires,
     and fires once until it has been false again.
     """
@@ -29,7 +33,9 @@ class StandingQuery:
 
     def poll(self, df: DataFrame, now_ns: int = 0) -> list[Row]:
         """What the data has to say now."""
-        rows = self.query(df).collect()
+        rows = self.query(df).limit(MOST_ROWS + 1).collect()
+        if len(rows) > MOST_ROWS:
+            raise ValueError(f"a standing query's result has more than {MOST_ROWS} rows")
         if self.mode == "rows":
             return rows
         if self.mode == "on_change":

@@ -222,3 +222,75 @@ def test_whole_tables_are_ingested_and_polled(spark, sf, monkeypatch):
         days.clear()
         query(spark, sf)
         assert len(days) == events.selectExpr("day(ts)").distinct().count() and days[-1] == n
+
+
+def test_standing_is_told_once_over_restarts(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,)], "v int").write.parquet(str(tmp_path / "in"))
+    told = []
+
+    def run(checkpoint: str) -> None:
+        stream = spark.readStream.schema("v int").parquet(str(tmp_path / "in"))
+        watch = StandingQuery(lambda df: df.groupBy().sum("v"), "rows")
+        watch.attach(stream, lambda n, r: told.append(r[0][0]), lambda: 0, str(tmp_path / "state"), checkpointLocation=str(tmp_path / checkpoint)).awaitTermination()
+
+    run("a")
+    run("b")  # its checkpoint is lost, so batch 0 comes again
+    assert told == [3]
+    with pytest.raises(ValueError):
+        StandingQuery(lambda df: df, "rows").poll(spark.range(100_001))
+
+
+def test_ingest_knows_replayed_batches(spark, tmp_path):
+    where = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00")], "id long, ts string").selectExpr("id", "CAST(ts AS TIMESTAMP) AS ts")
+    EventTable(spark, where).append(rows, ("w", 4))
+    for batch in (("w", 4), ("w", 3), ("v", 0), ("w", 5)):
+        EventTable(spark, where).append(rows, batch)
+    t = EventTable(spark, where)
+    assert t.snapshot().count() == 3 and t.batches == {"w": 5, "v": 0}
+    t.compact()
+    old = [path for path, _ in t.gone]
+    assert len(old) == 3 and t.vacuum(grace_ns=10**18) == 0 and len(t.gone) == 3
+    assert t.vacuum() == 3 and t.gone == [] and EventTable(spark, where).snapshot().count() == 3
+    assert t.batches == {"w": 5, "v": 0}
+
+
+def test_names_that_come_twice(spark):
+    lines = ['{"time":null,"ts":1757404981,"msg":"a","message":"b","Host":"h","server":"s","x":null}', "msg=a message=b x=1 x=2", '{"a":{"b":1},"a.b":2}', "{}"]
+    rows = logs.parse(spark.createDataFrame([(x, k) for k, x in enumerate(lines)], "value string, k int")).collect()
+    assert rows[0].message == "a" and rows[0].timestamp == 1757404981 * 10**9 and rows[0].fields == {"host": "h", "x": None}
+    assert rows[1].message == "a" and rows[1].fields == {"x": "1"}
+    assert rows[2].fields == {"a.b": "1"} and rows[3].fields == {} and rows[3].message is None
+
+
+def test_statements_that_fail(spark):
+    from sparkloom.operators import statements
+
+    db = dml.Database(spark)
+    run = lambda sql: statements.execute(db, sql)
+    run("CREATE TABLE s (id INTEGER PRIMARY KEY, v TEXT CHECK (length(v) < 4))")
+    run("INSERT INTO s VALUES (1, 'a')")
+    for sql in ("INSERT INTO s VALUES (1, 'b')", "INSERT OR FAIL INTO s VALUES (2, 'long')", "INSERT INTO s VALUES (NULL, 'b')", "UPDATE s SET v = 'long'"):
+        with pytest.raises(dml.ConstraintError):
+            run(sql)
+    run("BEGIN")
+    run("DELETE FROM s")
+    with pytest.raises(dml.ConstraintError):
+        run("INSERT OR ROLLBACK INTO s VALUES (3, 'long')")
+    assert run("SELECT * FROM s").count() == 1 and run("SELECT changes() AS c, last_insert_rowid() AS r").first() == (1, 1)
+    assert [r.name for r in run("PRAGMA table_list").collect()] == ["s"] and run("PRAGMA journal_mode").count() == 1 and run("PRAGMA unknown") is None
+    db.tables["s"] = spark.createDataFrame([(1, "a"), (1, "long")], "id long, v string")
+    assert "CHECK" in run("PRAGMA integrity_check").first()[0]
+    assert run("EXPLAIN SELECT 1 AS a").count() > 0
+
+
+def test_scopes(spark):
+    log = spark.createDataFrame([(k * 600 * 10**9, f"line {k}") for k in range(20)], "timestamp long, raw string")
+    count = lambda sql, **o: windows.query(log, sql, **o).collect()[0][0]
+    assert count("SELECT count(*) AS n FROM log") == 7  # the last hour
+    assert count("SELECT count(*) AS n FROM log SINCE ALL") == 20 and count("SELECT count(*) AS n FROM log", default=None) == 20
+    assert count("SELECT count(*) AS n FROM log SINCE 30 m UNTIL 10 m") == 3 and count("SELECT count(*) AS n FROM log SINCE 16 b") == 2
+    for sql in ("SELECT raw FROM log SINCE ALL ORDER BY raw", "SELECT DISTINCT raw FROM log SINCE ALL", "SELECT 1 FROM log JOIN log AS b"):
+        with pytest.raises(windows.UnboundedQuery):
+            windows.query(log, sql)
+    assert len(windows.query(log, "SELECT raw FROM log WHERE raw <> 'a JOIN b' ORDER BY raw").collect()) == 7
