@@ -84,12 +84,12 @@ def test_near_misses_make_few_pairs(spark, monkeypatch):
     """A family whose sets all nearly link and do not: what is verified is in proportion to the links, not to the pairs."""
     rng = random.Random(31)
     words = [f"w{k}" for k in range(1000)]
-    rows = []
-    for k in range(80):  # changing 22 words in a row of a thousand changes 25 shingles of four; two such texts share 0.90
-        own = list(words)
-        for at in rng.sample(range(0, 1000, 5), 22):
-            own[at] = f"x{k}y{at}"
-        rows.append((k, " ".join(own)))
+    rows, places = [], []
+    while len(rows) < 80:  # 12 changed words change 48 shingles of four; two such texts share 0.82 to 0.845
+        own = set(rng.sample(range(0, 1000, 5), 12))
+        if all(len(own & other) < 4 for other in places):
+            places.append(own)
+            rows.append((len(rows), " ".join(f"x{len(rows)}y{at}" if at in own else w for at, w in enumerate(words))))
     sets = plain_classes([(k, t, "") for k, t in rows], 4, 85)
     assert all(v[2] == k for k, v in sets.items())
     seen = []
@@ -97,7 +97,7 @@ def test_near_misses_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: tuple(r) for r in jaccard_join.classes(docs, width=4, percent=85).collect()}
-    assert got == sets and sum(seen) < 4 * 80, seen
+    assert got == sets and sum(seen) < 3160 / 10, seen
 
 
 def test_long_texts_and_null_keys(spark):
