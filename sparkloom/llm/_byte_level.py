@@ -20,7 +20,7 @@ import numpy as np
 from sparkloom.llm._table import KEY_BYTES, Table, keys, padded
 
 #: Pieces in a worker's table, bytes cut and looked up at a time (more where one text is longer).
-ENTRIES, LOT = 1 << 20, 2_000_000
+ENTRIES, LOT = 1 << 20, 500_000
 
 
 def _bytes(of: bytes | range) -> np.ndarray:
@@ -82,10 +82,6 @@ class ByteLevel:
         names = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
         self._table = Table(ENTRIES)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._table.clear()
         self._ids = np.zeros(4 * ENTRIES, np.uint32)
         self._end = np.zeros(ENTRIES + 1, np.int64)
 
@@ -99,7 +95,8 @@ class ByteLevel:
         return buf, begin, np.append(begin[1:], first[-1]), np.searchsorted(begin, first)
 
     def library_ids(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        # one at a time: batches hold all their encodings at once and start a thread for each core, in every worker
+        return [self.library.encode(p, add_special_tokens=False).ids for p in pieces]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -134,8 +131,14 @@ class ByteLevel:
         new = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
         # pieces of this lot that are not held stand behind those that are
         held = self._table.held
-        ids = np.concatenate([self._ids[: self._end[held]], new])
-        ends = np.concatenate([self._end[: held + 1], self._end[held] + np.cumsum(size)])
+        room, ids, ends = int(self._end[held]), self._ids, self._end
+        if room + len(new) <= len(ids) and held + len(size) < len(ends):
+            # the free room of the table takes them for now
+            ids[room : room + len(new)] = new
+            ends[held + 1 : held + 1 + len(size)] = room + np.cumsum(size)
+        else:
+            ids = np.concatenate([ids[:room], new])
+            ends = np.concatenate([ends[: held + 1], room + np.cumsum(size)])
         found[lacking] = held + np.fromiter((place[p] for p in names), np.int64, len(names))
         start, many = ends[found], ends[found + 1] - ends[found]
         total = np.concatenate(([0], np.cumsum(many)))
@@ -152,7 +155,7 @@ class ByteLevel:
         starts = np.cumsum(size) - size
         many = int(size[some].sum())
         if self._table.held + len(some) > ENTRIES or self._end[self._table.held] + many > len(self._ids):
-            self._forget()
+            self._table.clear()
         if many > len(self._ids):
             return
         held = self._table.held

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -133,6 +135,26 @@ def test_byte_level_ids(tokenizer, monkeypatch):
         assert [g.tolist() for g in coder.encode(lot)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in lot]
 
 
+def test_byte_level_worker_is_small():
+    """Many new pieces at once take no threads and little memory: an executor has several workers beside its heap."""
+    code = """
+import random, re, sys
+from sparkloom.llm._byte_level import ByteLevel
+
+def status(name):
+    return int(re.search(name + r":\\s+(\\d+)", open("/proc/self/status").read())[1])
+
+coder, rng = ByteLevel(sys.argv[1]), random.Random(8)
+texts = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(1000)) for _ in range(400)]
+before = status("VmHWM"), status("Threads")
+coder.encode(texts)
+print((status("VmHWM") - before[0]) // 1024, status("Threads") - before[1])
+"""
+    said = subprocess.run([sys.executable, "-c", code, str(BYTES)], capture_output=True, text=True, check=True).stdout
+    mb, threads = map(int, said.split())
+    assert mb < 200 and threads == 0
+
+
 @pytest.mark.parametrize("text", [" " * 1_500_000, "a" + " " * 1_500_000 + "b", "x" * 1_000_000, "ab c.\n" * 300_000, "wé" * 100_000 + " <|endoftext|> z" * 3])
 def test_long_texts(library, tokenizer, text):
     ids = tokenizer.encode(text, add_special_tokens=False).ids
