@@ -229,10 +229,10 @@ def read(fingerprint: str) -> np.ndarray:
 def near_duplicates(prints: DataFrame, key: str = "doc_id", bands: int = 32, width: int = 4, least: float = 0.8) -> DataFrame:
     """Pairs (representative, ``key``, likeness of at least ``least``) from :func:`fingerprint` rows.
 
-    Texts with equal fingerprints are one; it is written down under its smallest key.
-    A band is ``width`` samples at steps that a hash picks, at the text's own level and
-    the next thinner one.  Of the texts that meet in a band, each is verified against
-    the band's smallest key, so no group is expanded into all pairs.
+    Texts with equal fingerprints are one; it is written down under its smallest key, so
+    copies are not expanded into pairs.  A band is ``width`` samples at steps that a hash
+    picks, at the text's own level and the next thinner one; shorter texts than that
+    have no bands.  All that meet in a band are verified against each other, each pair once.
     """
 
     def keys(batches: Iterator) -> Iterator:
@@ -246,17 +246,13 @@ def near_duplicates(prints: DataFrame, key: str = "doc_id", bands: int = 32, wid
                 for thin in (level, level + 1):
                     s = _thinned(samples, level, thin)
                     if len(s) >= SAMPLES // 3:
-                        rows += [(f"{thin}.{b}.{s[p].tobytes().hex()}", k, n, f) for b, p in enumerate(pick)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))],
-                ["band", "key", "n_chars", "fingerprint"],
-            )
+                        rows += [(f"{thin}.{b}.{s[p].tobytes().hex()}", k) for b, p in enumerate(pick)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.int64()))], ["band", "key"])
 
     given = prints.select(F.col(key).cast("bigint").alias("key"), "n_chars", "fingerprint")
     one = given.groupBy("fingerprint").agg(F.min("key").alias("key"), F.min("n_chars").alias("n_chars"))
-    banded = one.select("key", "n_chars", "fingerprint").mapInArrow(keys, "band string, key bigint, n_chars bigint, fingerprint string")
-    least_key = banded.groupBy("band").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = banded.join(least_key, "band").where("key > rep").select("rep", "key").distinct()
+    banded = one.select("key", "n_chars", "fingerprint").mapInArrow(keys, "band string, key bigint")
+    met = banded.join(banded.select("band", F.col("key").alias("rep")), "band").where("key > rep").select("rep", "key").distinct()
     a = one.select(F.col("key").alias("rep"), F.col("n_chars").alias("n_a"), F.col("fingerprint").alias("f_a"))
     pairs = met.join(a, "rep").join(one, "key")
 

@@ -264,6 +264,21 @@ def test_near_duplicates(spark):
     assert all(b >= 30 for _, b in pairs)
 
 
+def test_near_duplicates_among_themselves(spark):
+    """Texts of a family are linked with each other, not only with the smallest key that they meet."""
+    rng = random.Random(13)
+    base = [sentence(rng, 200) for _ in range(3)]
+    rows = list(enumerate(edited(rng, base[k % 3], k % 9) for k in range(60)))
+    prints = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"))
+    own = fingerprints.fingerprints([t for _, t in rows])
+    alike = {(a, b): fingerprints.likeness(len(rows[a][1]), own[a], len(rows[b][1]), own[b]) for b in range(60) for a in range(b)}
+    found = {(r.rep, r.doc_id): r.likeness for r in fingerprints.near_duplicates(prints).collect()}
+    same = {p for p in alike if rows[p[0]][1] == rows[p[1]][1]}  # copies: under the smallest key alone
+    wanted = {p: x for p, x in alike.items() if x >= 0.8 and not {p[0], p[1]} & {b for _, b in same}}
+    assert len(wanted) > 100 and wanted == {p: x for p, x in found.items() if p not in same}
+    assert {b for _, b in same} <= {b for a, b in found if (a, b) in same}
+
+
 # -- decontamination -------------------------------------------------------------------
 
 QUESTION = "A farmer named John has 12 apples and gives 5 apples to Mary so how many apples does John keep now"
