@@ -226,27 +226,51 @@ def read(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint.split(":")[1]), np.uint8)
 
 
+def stretch(least: float, most: int) -> int:
+    """The longest stretch of which two fingerprints with a likeness of ``least`` share one.
+
+    The shorter one has up to ``most`` samples.  Of n samples at most (1 - ``least``) n
+    disagree, each spoils one stretch, and there are more stretches than that; fewer
+    samples than a stretch must agree with all of the other's.
+    """
+
+    def sure(n: int, own: int) -> bool:
+        return n // own > int((1 - least) * n + 1e-9) if n >= own else int(n / least + 1e-9) == n
+
+    return max(own for own in range(1, 9) if own == 1 or all(sure(n, own) for n in range(1, most + 1)))
+
+
 def near_duplicates(prints: DataFrame, key: str = "doc_id", bands: int = 32, width: int = 4, least: float = 0.8) -> DataFrame:
     """Pairs (representative, ``key``, likeness of at least ``least``) from :func:`fingerprint` rows.
 
     Texts with equal fingerprints are one; it is written down under its smallest key, so
     copies are not expanded into pairs.  A band is ``width`` samples at steps that a hash
-    picks, at the text's own level and the next thinner one; shorter texts than that
-    have no bands.  All that meet in a band are verified against each other, each pair once.
+    picks, at the text's own level and the next thinner one.  Texts with too few samples for
+    bands, and those little longer, meet in a stretch of samples instead (:func:`stretch`),
+    which loses no pair if ``least`` is 0.7 or more.  All that meet are verified against
+    each other, each pair once.
     """
+    few = SAMPLES // 3
+    most = int(few / least)
+    own = stretch(least, most)
 
     def keys(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        pick = np.random.Generator(np.random.PCG64(7)).integers(0, SAMPLES // 3, (bands, width))
+        pick = np.random.Generator(np.random.PCG64(7)).integers(0, few, (bands, width))
         for batch in batches:
             rows: list[tuple] = []
             for k, n, f in zip(*(c.to_pylist() for c in batch.columns)):
                 samples, level = read(f), level_of(n)
                 for thin in (level, level + 1):
                     s = _thinned(samples, level, thin)
-                    if len(s) >= SAMPLES // 3:
+                    if len(s) >= few:
                         rows += [(f"{thin}.{b}.{s[p].tobytes().hex()}", k) for b, p in enumerate(pick)]
+                if level == 0 and len(samples) <= most:
+                    body, many = samples.tobytes(), len(samples)
+                    rows += [(f"s{at}.{body[at : at + own].hex()}", k) for at in range(0, many - own + 1, own)]
+                    if 0 < many < own:
+                        rows.append((f"w.{body.hex()}", k))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.int64()))], ["band", "key"])
 
     given = prints.select(F.col(key).cast("bigint").alias("key"), "n_chars", "fingerprint")

@@ -279,6 +279,27 @@ def test_near_duplicates_among_themselves(spark):
     assert {b for _, b in same} <= {b for a, b in found if (a, b) in same}
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Texts of few characters lose no link, with each other or with longer ones."""
+    rng = random.Random(14)
+    given: dict[str, None] = {"ab": None, "": None}
+    for _ in range(60):
+        t = sentence(rng, rng.randint(1, 12))
+        given |= dict.fromkeys([t, t[:-1], t + ".", t + " a", t[: len(t) // 2] + "x" + t[len(t) // 2 :]])
+    rows = list(enumerate(given))
+    own = fingerprints.fingerprints(list(given))
+    prints = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    first = {}
+    for r in sorted(prints.collect()):
+        first.setdefault(r.fingerprint, r.doc_id)
+    one = sorted(first.values())
+    alike = {(a, b): fingerprints.likeness(len(rows[a][1]), own[a], len(rows[b][1]), own[b]) for b in one for a in one if a < b}
+    for least in (0.7, 0.8, 0.9):
+        found = {(r.rep, r.doc_id): r.likeness for r in fingerprints.near_duplicates(prints, least=least).collect()}
+        wanted = {p: x for p, x in alike.items() if x >= least and min(len(own[p[0]]), len(own[p[1]])) < 64}
+        assert len(wanted) > 10 and wanted.items() <= found.items()
+
+
 # -- decontamination -------------------------------------------------------------------
 
 QUESTION = "A farmer named John has 12 apples and gives 5 apples to Mary so how many apples does John keep now"
