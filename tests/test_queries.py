@@ -1,5 +1,6 @@
 """Every registered query of the library against its SQL, and its independence of partitioning."""
 
+import duckdb
 import pytest
 from oracle import connection, differences
 
@@ -50,3 +51,22 @@ def test_filters_reach_the_scan(spark, sf):
     df = QUERIES["scan_pruned_count"](spark, sf)
     assert any("o_orderkey" in f for f in pushed_filters(df))
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan(df)
+
+
+def test_sketches_are_kept_for_groups_not_for_distinct_values(spark, sf):
+    from sparkloom.operators.reports import plan
+
+    steps = [s for s in plan(QUERIES["agg_approx_error"](spark, sf)).split("\n\n") if "approx_count_distinct(l_orderkey" in s and "Keys [" in s]
+    keys = [line for s in steps for line in s.splitlines() if line.startswith("Keys [")]
+    assert keys and not any("l_orderkey" in k for k in keys), keys
+
+
+def test_approximate_counts_of_null_groups_and_keys(spark, tmp_path):
+    con = duckdb.connect()
+    rows = "SELECT nullif(i % 4, 0) AS f, CASE WHEN i % 4 = 1 OR i % 3 = 0 THEN NULL ELSE i % 5000 END AS k FROM range(40000) t(i)"
+    con.execute(f"COPY (SELECT 'flag' || f AS l_returnflag, k AS l_orderkey FROM ({rows})) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    assert differences(QUERIES["agg_approx_error"](spark, str(tmp_path)), SQL["agg_approx_error"], con) == ""
+    con.execute(f"COPY (SELECT * FROM lineitem LIMIT 0) TO '{tmp_path}/none.parquet' (FORMAT parquet)")
+    (tmp_path / "none.parquet").replace(tmp_path / "lineitem.parquet")
+    assert QUERIES["agg_approx_error"](spark, str(tmp_path)).collect() == []
